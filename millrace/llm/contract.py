@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality, simhash
+from millrace.llm import langid, mixing, packing, quality, simhash, sketch, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_and_next(_documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.draws(mixing.sized(_documents(spark, sf_dir)))
+    return found.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -37,7 +54,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_scaled_sketch": op2_scaled_sketch,
+        "op4_language_id": op4_language_id,
+        "op6_token_counts": op6_token_counts,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_source_mixing": op8_source_mixing,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 

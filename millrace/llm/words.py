@@ -76,7 +76,9 @@ def string_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive `counts` of `values` (by the first axis); exact for integers."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    """Sums of consecutive `counts` of `values` (by the first axis); a text's sum depends on its values alone."""
+    out = np.zeros((len(counts), *values.shape[1:]), values.dtype)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
