@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, packing, quality, simhash, sketch, tokencount
+from millrace.llm import langid, linededup, mixing, packing, quality, simhash, sketch, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_scaled_sketch": op2_scaled_sketch,
         "op4_language_id": op4_language_id,
+        "op5_line_dedup": op5_line_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_source_mixing": op8_source_mixing,
