@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, linededup, mixing, packing, quality, simhash, sketch, tokencount
+from millrace.llm import langid, linededup, mixing, packing, quality, repeats, simhash, sketch, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_repeat_removal": op10_repeat_removal,
     }
 
 
