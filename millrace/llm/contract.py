@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, linededup, mixing, packing, quality, repeats, simhash, sketch, tokencount
+from millrace.llm import langid, linededup, mixing, packing, quality, repeats, simhash, sketch, tokencount, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_and_next(_documents(spark, sf_dir))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_scaled_sketch": op2_scaled_sketch,
+        "op3_warc_revisits": op3_warc_revisits,
         "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
         "op6_token_counts": op6_token_counts,
