@@ -28,7 +28,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return langid.identify(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return tokencount.token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +49,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,15 +65,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint as a signed long) for each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found.view(np.int64))], names=["doc_id", "th", "fp"])
 
     importable_by_workers(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(hashed, "doc_id bigint, th bigint, fp bigint")
 
 
 def _distance(points: np.ndarray, one: np.uint64) -> np.ndarray:
@@ -228,12 +228,28 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.groupBy("key").applyInArrow(searched, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for each row of `docs`."""
+def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and fp, least, root for each distinct one; both written tables."""
     hashed = written(fingerprints(docs), "fingerprints")
-    distinct = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
+    distinct = written(hashed.groupBy("fp").agg(first), "distinct")
     grouped = components(links(distinct, radius).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = distinct.join(grouped, distinct["fp"] == grouped["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = written(named, "roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return hashed.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return hashed, written(named, "roots")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id for each row of `docs`."""
+    hashed, named = _rooted(docs, radius)
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    return hashed.join(named.join(least, "root").select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """`docs` with one row of each component: that of smallest id; of equal ids, that of smallest text hash."""
+    hashed, named = _rooted(docs, radius)
+    chosen = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_th")).distinct()
+    stay = docs.withColumn("_h", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left_semi")
+    if hashed.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id", "_h"])
+    return stay.select(*docs.columns)
