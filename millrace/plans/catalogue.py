@@ -1,15 +1,701 @@
-"""Named queries with the SQL that checks them."""
+"""Named queries, one or more for each operator and function, with the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.functions import convert, dates, durations, hashing, lists, null, regex, text
+from millrace.functions import math as m
+from millrace.operators import Table, asc, desc, stats
+from millrace.operators import aggregates as a
+from millrace.operators import windows as w
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+c = F.col
+#: Unique at every scale, so an order that ends with it is total.
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+LINE_SQL = ", ".join(LINE_KEY)
+
+
+def _query(table: str | tuple[str, ...], sql: str | None):
+    """Registers a function of tables under its name."""
+    names = (table,) if isinstance(table, str) else table
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(*(Table(spark.read.parquet(f"{sf_dir}/{n}.parquet")) for n in names))
+            return out.plain() if isinstance(out, Table) else out
+
+        _QUERIES[f.__name__] = run
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _dec(x):
+    return x.cast("decimal(38,6)")
+
+
+# ---------------------------------------------------------------- rows and columns
+
+
+@_query("lineitem", """SELECT l_returnflag, month(l_shipdate)::BIGINT AS month, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(38,6))) AS DOUBLE) AS revenue,
+  count(*) AS n, round(avg(l_quantity), 6) AS avg_qty FROM lineitem WHERE l_quantity > 5 AND l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL ORDER BY revenue DESC LIMIT 5""")
+def flagship_q1(t):
+    return (
+        t.where((c("l_quantity") > 5) & (c("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")))
+        .derive(revenue=_dec(c("l_extendedprice") * (1 - c("l_discount"))), month=dates.month(c("l_shipdate")))
+        .group("l_returnflag", "month")
+        .agg(revenue=a.sum_("revenue").then(lambda x: x.cast("double")), n=a.count(), avg_qty=a.mean("l_quantity").then(lambda x: F.round(x, 6)))
+        .sort(desc("revenue")).take(5)
+    )
+
+
+@_query("lineitem", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE nullif(l_returnflag, 'A') <> 'R'")
+def where_null_drop(t):
+    return t.where(null.null_if(c("l_returnflag"), "A") != "R").select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@_query("lineitem", "SELECT l_orderkey, l_quantity * 2 AS twice, l_extendedprice / l_quantity AS unit FROM lineitem")
+def select_expr(t):
+    return t.select("l_orderkey", twice=c("l_quantity") * 2, unit=m.fdiv(c("l_extendedprice"), c("l_quantity")))
+
+
+@_query("lineitem", "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
+def derive_chain(t):
+    return t.derive(net=c("l_extendedprice") * (1 - c("l_discount"))).derive(gross=c("net") * (1 + c("l_tax"))).select("l_orderkey", "net", "gross")
+
+
+@_query("nation", "SELECT n_nationkey AS key, n_name AS name FROM nation")
+def rename_drop(t):
+    return t.rename(key="n_nationkey", name="n_name").drop("n_regionkey")
+
+
+@_query("lineitem", f"SELECT {LINE_SQL}, l_shipdate FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_SQL} LIMIT 20")
+def sort_take(t):
+    return t.sort(desc("l_shipdate"), *LINE_KEY).take(20).select(*LINE_KEY, "l_shipdate")
+
+
+@_query("events", "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 30 OFFSET 100")
+def skip_take(t):
+    return t.sort("value", "event_id").skip(100).take(30).select("event_id", "value")
+
+
+@_query("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def top_k(t):
+    return t.sort(desc("o_totalprice"), asc("o_orderkey")).take(10).select("o_orderkey", "o_totalprice")
+
+
+@_query("events", "SELECT event_id, u FROM (SELECT event_id, nullif(user_id, 7) AS u FROM events) ORDER BY u NULLS FIRST, event_id LIMIT 40")
+def sort_nulls_first(t):
+    return t.select("event_id", u=null.null_if(c("user_id"), 7)).sort("u", "event_id", nulls="first").take(40)
+
+
+@_query("events", "SELECT event_id, ts FROM (SELECT event_id, ts FROM events ORDER BY ts DESC LIMIT 25)")
+def tail_rows(t):
+    return t.sort("ts").tail(25).select("event_id", "ts")
+
+
+@_query("lineitem", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def distinct_rows(t):
+    return t.select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
+
+
+@_query("orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_cols(t):
+    return t.distinct("o_orderstatus", "o_orderpriority")
+
+
+@_query("part", "SELECT p_partkey, p_size IN (1, 5, 9) AS listed, nullif(p_brand, p_brand) IN ('x') AS unknown FROM part")
+def in_list(t):
+    return t.select("p_partkey", listed=null.is_in(c("p_size"), [1, 5, 9]), unknown=null.is_in(null.null_if(c("p_brand"), c("p_brand")), ["x"]))
+
+
+@_query("part", "SELECT p_partkey FROM part WHERE p_size NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)")
+def not_in(t):
+    return t.where(~null.is_in(c("p_size"), list(range(1, 11)))).select("p_partkey")
+
+
+@_query("lineitem", "SELECT l_orderkey, CASE nullif(l_returnflag, 'N') WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS code FROM lineitem")
+def match_case(t):
+    return t.select("l_orderkey", code=null.match(null.null_if(c("l_returnflag"), "N"), {"A": 1, "R": 2, None: 3}, 9))
+
+
+@_query("lineitem", "SELECT l_orderkey, CASE WHEN l_linenumber <> 3 THEN l_orderkey // (l_linenumber - 3) ELSE 0 END AS q FROM lineitem")
+def if_guard_div(t):
+    return t.select("l_orderkey", q=null.if_else(c("l_linenumber") != 3, m.div(c("l_orderkey"), (c("l_linenumber") - 3).cast("bigint")), F.lit(0)))
+
+
+@_query("lineitem", "SELECT l_orderkey, coalesce(nullif(l_returnflag, 'A'), '?') AS flag FROM lineitem")
+def coalesce(t):
+    return t.select("l_orderkey", flag=null.if_null(null.null_if(c("l_returnflag"), "A"), "?"))
+
+
+@_query("part", "SELECT p_partkey, p_size BETWEEN 10 AND 20 AS mid, least(greatest(p_size, 10), 20) AS held FROM part")
+def between_clamp(t):
+    return t.select("p_partkey", mid=null.between(c("p_size"), 10, 20), held=null.clamp(c("p_size"), 10, 20))
+
+
+@_query("lineitem", "SELECT l_orderkey, greatest(l_quantity, l_tax) AS hi, CASE WHEN nullif(l_returnflag, 'A') IS NULL THEN NULL ELSE least(l_returnflag, l_linestatus) END AS lo FROM lineitem")
+def greatest_least(t):
+    return t.select("l_orderkey", hi=null.greatest(c("l_quantity"), c("l_tax")), lo=null.least(null.null_if(c("l_returnflag"), "A"), c("l_linestatus")))
+
+
+@_query(("documents", "labels"), "SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL")
+def drop_nulls(t, u):
+    return t.select("doc_id").join(u, on="doc_id", how="left").drop_nulls("quality").select("doc_id", "quality")
+
+
+@_query(("documents", "labels"), "SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def fill_nulls(t, u):
+    return t.select("doc_id").join(u, on="doc_id", how="left").select("doc_id", "quality").fill_nulls(quality=-1)
+
+
+@_query("events", "SELECT event_id, nullif(event_type, 'click') IS NULL AS missing FROM events")
+def is_null_test(t):
+    return t.select("event_id", missing=null.is_null(null.null_if(c("event_type"), "click")))
+
+
+# ---------------------------------------------------------------- aggregation
+
+
+@_query("lineitem", "SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS keys, max(l_quantity) AS top FROM lineitem")
+def agg_global(t):
+    return t.agg(n=a.count(), keys=a.sum_("l_orderkey"), top=a.max_("l_quantity"))
+
+
+@_query("lineitem", "SELECT count(*) AS n, coalesce(sum(l_orderkey), 0)::BIGINT AS known, sum(l_linenumber)::BIGINT AS maybe FROM lineitem WHERE l_quantity < 0")
+def agg_empty(t):
+    return t.declare("l_orderkey").where(c("l_quantity") < 0).agg(n=a.count(), known=a.sum_("l_orderkey"), maybe=a.sum_("l_linenumber"))
+
+
+@_query("lineitem", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(38,6))) AS DOUBLE) AS price, count(*) AS n, round(avg(l_discount), 9) AS disc FROM lineitem GROUP BY ALL")
+def group_sum_count_mean(t):
+    return t.derive(p=_dec(c("l_extendedprice"))).group("l_returnflag", "l_linestatus").agg(price=a.sum_("p").then(lambda x: x.cast("double")), n=a.count(), disc=a.mean("l_discount").then(lambda x: F.round(x, 9)))
+
+
+@_query("orders", "SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_orderdate) AS hi, min(o_orderstatus) AS s FROM orders GROUP BY ALL")
+def group_min_max(t):
+    return t.group("o_orderpriority").agg(lo=a.min_("o_totalprice"), hi=a.max_("o_orderdate"), s=a.min_("o_orderstatus"))
+
+
+@_query("lineitem", "SELECT year(l_shipdate)::BIGINT AS y, count(*) AS n FROM lineitem GROUP BY ALL")
+def group_expr(t):
+    return t.group(y=dates.year(c("l_shipdate"))).agg(n=a.count())
+
+
+@_query("lineitem", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT nullif(l_linenumber, 1)) AS lines FROM lineitem GROUP BY ALL")
+def count_distinct(t):
+    return t.derive(x=null.null_if(c("l_linenumber"), 1)).group("l_returnflag").agg(parts=a.count_distinct("l_partkey"), lines=a.count_distinct("x"))
+
+
+@_query("lineitem", "SELECT l_linenumber, round(median(l_extendedprice), 6) AS mid, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY ALL")
+def median_quantile(t):
+    r6 = lambda x: F.round(x, 6)
+    return t.group("l_linenumber").agg(mid=a.median("l_extendedprice").then(r6), q90=a.quantile("l_extendedprice", 0.9).then(r6))
+
+
+@_query("lineitem", "SELECT l_linenumber, round(stddev_samp(l_quantity), 8) AS sd, round(var_samp(l_quantity), 7) AS v, round(stddev_pop(l_quantity), 8) AS sdp, round(var_pop(l_quantity), 7) AS vp FROM lineitem GROUP BY ALL")
+def stddev_variance(t):
+    r8, r7 = (lambda x: F.round(x, 8)), (lambda x: F.round(x, 7))
+    return t.group("l_linenumber").agg(sd=a.stddev("l_quantity").then(r8), v=a.variance("l_quantity").then(r7), sdp=a.stddev_pop("l_quantity").then(r8), vp=a.variance_pop("l_quantity").then(r7))
+
+
+@_query("nation", "SELECT n_regionkey, product(n_nationkey + 1) AS p FROM nation GROUP BY ALL")
+def product(t):
+    return t.derive(k=c("n_nationkey") + 1).group("n_regionkey").agg(p=a.product("k"))
+
+
+@_query("events", "SELECT user_id, arg_min(event_type, ts) AS f, arg_max(value, ts) AS l FROM events GROUP BY ALL")
+def first_last(t):
+    return t.sort("ts").group("user_id").agg(f=a.first("event_type"), l=a.last("value"))
+
+
+@_query("nation", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY ALL")
+def string_agg(t):
+    return t.sort("n_name").group("n_regionkey").agg(names=a.string_agg("n_name", "; "))
+
+
+@_query("events", "SELECT event_type, arg_max(event_id, struct_pack(a := value, b := -event_id)) AS top, arg_min(event_id, struct_pack(a := value, b := event_id)) AS low FROM events GROUP BY ALL")
+def arg_max_min(t):
+    return t.sort("event_id").group("event_type").agg(top=a.arg_max("event_id", "value"), low=a.arg_min("event_id", "value"))
+
+
+@_query("lineitem", "SELECT l_returnflag, count_if(l_quantity > 25) AS many, bool_or(l_tax > 0.07) AS some, bool_and(l_discount < 0.2) AS every FROM lineitem GROUP BY ALL")
+def count_if_any_all(t):
+    return t.group("l_returnflag").agg(many=a.count_if(c("l_quantity") > 25), some=a.any_(c("l_tax") > 0.07), every=a.all_(c("l_discount") < 0.2))
+
+
+@_query(("documents", "labels"), "SELECT d.lang, count(*) - count(l.quality) AS unlabelled, count(l.quality) AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
+def count_null(t, u):
+    return t.select("doc_id", "lang").join(u, on="doc_id", how="left").group("lang").agg(unlabelled=a.count_null("quality"), labelled=a.count("quality"))
+
+
+@_query("lineitem", "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS price FROM lineitem GROUP BY ALL")
+def weighted_mean(t):
+    return t.group("l_returnflag").agg(price=a.weighted_mean("l_extendedprice", "l_quantity").then(lambda x: F.round(x, 4)))
+
+
+@_query("lineitem", "SELECT l_linenumber, round(corr(l_extendedprice, l_quantity), 9) AS r, round(covar_samp(l_extendedprice, l_quantity), 3) AS cv FROM lineitem GROUP BY ALL")
+def corr_cov(t):
+    return t.group("l_linenumber").agg(r=a.corr("l_extendedprice", "l_quantity").then(lambda x: F.round(x, 9)), cv=a.cov("l_extendedprice", "l_quantity").then(lambda x: F.round(x, 3)))
+
+
+@_query("nation", "SELECT n_nationkey, CASE WHEN isfinite(r) THEN r END AS r FROM (SELECT n_nationkey, corr(n_regionkey, n_nationkey) AS r FROM nation GROUP BY ALL)")
+def corr_undefined(t):
+    return t.group("n_nationkey").agg(r=a.corr("n_regionkey", "n_nationkey"))
+
+
+@_query("lineitem", "SELECT l_linenumber, round(regr_slope(l_extendedprice, l_quantity), 6) AS b, round(regr_intercept(l_extendedprice, l_quantity), 4) AS a FROM lineitem GROUP BY ALL")
+def slope_intercept(t):
+    return t.group("l_linenumber").agg(b=a.slope("l_extendedprice", "l_quantity").then(lambda x: F.round(x, 6)), a=a.intercept("l_extendedprice", "l_quantity").then(lambda x: F.round(x, 4)))
+
+
+@_query("lineitem", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(corr(l_extendedprice, l_quantity) ** 2, 9) AS r2 FROM lineitem")
+def linreg(t):
+    return stats.linreg(t, "l_extendedprice", "l_quantity").select(F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 9).alias("r2"))
+
+
+_DESCRIBED = " UNION ALL ".join(
+    f"SELECT '{n}' AS \"column\", '{k}' AS type, count({n}) AS count, count(*) - count({n}) AS nulls, "
+    + (f"round(avg({n}), 6) AS mean, round(stddev_samp({n}), 6) AS stddev, min({n})::DOUBLE AS min, median({n})::DOUBLE AS median, max({n})::DOUBLE AS max" if k != "string" else "NULL, NULL, NULL, NULL, NULL")
+    + " FROM customer"
+    for n, k in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))
+)
+
+
+@_query("customer", _DESCRIBED)
+def describe(t):
+    return stats.describe(t).withColumns({x: F.round(x, 6) for x in ("mean", "stddev")})
+
+
+@_query("customer", """WITH e AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 8 AS wd FROM customer),
+  b AS (SELECT least(floor((c_acctbal - lo) / wd), 7)::BIGINT AS bin FROM customer, e)
+  SELECT i AS bin, (SELECT count(*) FROM b WHERE b.bin = i) AS count FROM range(8) t(i)""")
+def histogram(t):
+    return stats.histogram(t, "c_acctbal", 8).select("bin", "count")
+
+
+@_query("orders", "SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY ALL")
+def count_by(t):
+    return t.count_by("o_orderpriority")
+
+
+@_query("lineitem", "SELECT l_returnflag, count_if(l_linestatus = 'F') AS \"F\", count_if(l_linestatus = 'O') AS \"O\", count_if(l_linestatus = 'X') AS \"X\" FROM lineitem GROUP BY ALL")
+def pivot_single(t):
+    return t.group("l_returnflag").pivot("l_linestatus", ["F", "O", "X"], n=a.count())
+
+
+@_query("lineitem", """SELECT l_linenumber, sum(l_orderkey) FILTER (l_returnflag = 'A')::BIGINT AS "A_keys", max(l_quantity) FILTER (l_returnflag = 'A') AS "A_top",
+  sum(l_orderkey) FILTER (l_returnflag = 'R')::BIGINT AS "R_keys", max(l_quantity) FILTER (l_returnflag = 'R') AS "R_top" FROM lineitem GROUP BY ALL""")
+def pivot_multi(t):
+    return t.group("l_linenumber").pivot("l_returnflag", ["A", "R"], keys=a.sum_("l_orderkey"), top=a.max_("l_quantity"))
+
+
+@_query("part", "SELECT p_partkey, 'p_brand' AS name, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part")
+def unpivot(t):
+    return t.select("p_partkey", "p_brand", "p_type").unpivot("p_brand", "p_type")
+
+
+@_query("part", "SELECT p_partkey, trim(unnest(string_split(p_name, ' '))) AS p_name FROM part")
+def explode(t):
+    return t.select("p_partkey", "p_name").explode("p_name", " ")
+
+
+# ---------------------------------------------------------------- joins and sets
+
+
+@_query(("orders", "customer"), "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_left_right_on(t, u):
+    return t.join(u, left_on="o_custkey", right_on="c_custkey").select("o_orderkey", "c_name")
+
+
+@_query(("nation", "region"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_inner(t, u):
+    return t.rename(k="n_regionkey").join(u.rename(k="r_regionkey"), on="k").select("n_name", "r_name")
+
+
+@_query(("documents", "labels"), "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_left(t, u):
+    return t.select("doc_id").join(u.select("doc_id", "quality"), on="doc_id", how="left")
+
+
+@_query(("labels", "documents"), "SELECT d.doc_id, l.toxic, d.lang FROM labels l RIGHT JOIN documents d ON l.doc_id = d.doc_id")
+def join_right(t, u):
+    return t.select("doc_id", "toxic").join(u.select("doc_id", "lang"), on="doc_id", how="right")
+
+
+_HALVES = "(SELECT o_orderkey AS k, o_custkey AS x FROM orders WHERE o_orderkey % 3 <> 0) p FULL JOIN (SELECT o_orderkey AS k, o_totalprice AS y FROM orders WHERE o_orderkey % 2 = 0) q"
+
+
+@_query("orders", f"SELECT coalesce(p.k, q.k) AS k, x, y FROM {_HALVES} ON p.k = q.k")
+def join_full(t):
+    left = t.where(c("o_orderkey") % 3 != 0).select(k=c("o_orderkey"), x=c("o_custkey"))
+    right = t.where(c("o_orderkey") % 2 == 0).select(k=c("o_orderkey"), y=c("o_totalprice"))
+    return left.join(right, on="k", how="full")
+
+
+@_query(("documents", "labels"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def join_semi(t, u):
+    return t.select("doc_id").join(u.where(c("toxic") == 1), on="doc_id", how="semi")
+
+
+@_query(("orders", "lineitem"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def join_anti(t, u):
+    return t.select("o_orderkey").join(u, left_on="o_orderkey", right_on="l_orderkey", how="anti")
+
+
+@_query(("region", "nation"), "SELECT r_name, n_name FROM region, nation")
+def join_cross(t, u):
+    return t.select("r_name").join(u.select("n_name"), how="cross")
+
+
+@_query(("lineitem", "part"), "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN (SELECT p_partkey AS l_partkey, p_size AS s, p_brand FROM part) USING (l_partkey) WHERE s = l_linenumber")
+def join_multi_key(t, u):
+    left = t.select("l_orderkey", "l_linenumber", "l_partkey")
+    right = u.select(l_partkey=c("p_partkey"), l_linenumber=c("p_size"), p_brand=c("p_brand"))
+    return left.join(right, on=["l_partkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@_query("lineitem", "SELECT count(*) AS n FROM (SELECT nullif(l_linenumber, 1) AS k FROM lineitem) p JOIN (SELECT DISTINCT nullif(l_linenumber, 1) AS k FROM lineitem) q ON p.k = q.k")
+def join_null_keys(t):
+    keyed = t.select(k=null.null_if(c("l_linenumber"), 1))
+    return keyed.join(keyed.distinct("k"), on="k").agg(n=a.count())
+
+
+@_query(("customer", "supplier"), "SELECT c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier")
+def union(t, u):
+    return t.select(name=c("c_name"), bal=c("c_acctbal")).union(u.select(bal=c("s_acctbal"), name=c("s_name")))
+
+
+_FLAGS = "SELECT nullif(l_returnflag, 'A') AS f, l_linenumber AS n FROM lineitem WHERE l_quantity"
+
+
+@_query("lineitem", f"{_FLAGS} < 3 INTERSECT {_FLAGS} > 48")
+def intersect(t):
+    base = t.derive(f=null.null_if(c("l_returnflag"), "A"))
+    return base.where(c("l_quantity") < 3).select("f", n="l_linenumber").intersect(base.where(c("l_quantity") > 48).select("f", n="l_linenumber"))
+
+
+@_query("lineitem", "SELECT l_partkey AS p FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 2")
+def except_rows(t):
+    return t.where(c("l_linenumber") == 1).select(p="l_partkey").except_(t.where(c("l_linenumber") == 2).select(p="l_partkey"))
+
+
+# ---------------------------------------------------------------- windows
+
+_W = "PARTITION BY user_id ORDER BY ts"
+
+
+@_query("events", f"SELECT event_id, row_number() OVER ({_W}) AS n FROM events")
+def win_row_number(t):
+    return t.select("event_id", "user_id", "ts").window(by="user_id", order="ts", n=w.row_number()).select("event_id", "n")
+
+
+@_query("lineitem", f"""SELECT {LINE_SQL}, rank() OVER p AS r, dense_rank() OVER p AS d, percent_rank() OVER p AS pr FROM lineitem WINDOW p AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC)""")
+def win_rank_dense_percent(t):
+    return t.select(*LINE_KEY, "l_quantity").window(by="l_orderkey", order=[desc("l_quantity")], r=w.rank(), d=w.dense_rank(), pr=w.percent_rank()).drop("l_quantity")
+
+
+@_query("events", "SELECT event_id, ntile(4) OVER (PARTITION BY event_type ORDER BY ts) AS q FROM events")
+def win_ntile(t):
+    return t.select("event_id", "event_type", "ts").window(by="event_type", order="ts", q=w.ntile(4)).select("event_id", "q")
+
+
+@_query("events", f"SELECT event_id, lag(value) OVER ({_W}) AS before, lead(value, 2) OVER ({_W}) AS later FROM events")
+def win_lag_lead(t):
+    return t.window(by="user_id", order="ts", before=w.lag("value"), later=w.lead("value", 2)).select("event_id", "before", "later")
+
+
+@_query("events", f"SELECT event_id, value - lag(value) OVER ({_W}) AS d, (value - lag(value) OVER ({_W})) / lag(value) OVER ({_W}) AS p FROM events")
+def win_diff_pct(t):
+    return t.window(by="user_id", order="ts", d=w.diff("value"), p=w.pct_change("value")).select("event_id", "d", "p")
+
+
+@_query("events", f"""SELECT event_id, last_value(v IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS f, first_value(v IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
+  FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN event_type END AS v FROM events)""")
+def win_fill(t):
+    sparse = t.derive(v=F.when(c("event_id") % 3 == 0, c("event_type")))
+    return sparse.window(by="user_id", order="ts", f=w.fill_forward("v"), b=w.fill_backward("v")).select("event_id", "f", "b")
+
+
+@_query("events", f"""SELECT event_id, sum(x) OVER s::BIGINT AS cs, count(x) OVER s AS cc, min(value) OVER s AS lo, max(value) OVER s AS hi, round(avg(x) OVER s, 9) AS cm
+  FROM (SELECT *, nullif(event_id % 10, 3) AS x FROM events) WINDOW s AS ({_W} ROWS UNBOUNDED PRECEDING)""")
+def win_cum(t):
+    with_x = t.derive(x=null.null_if(c("event_id") % 10, 3))
+    out = with_x.window(by="user_id", order="ts", cs=w.cumsum("x"), cc=w.cum_count("x"), lo=w.cum_min("value"), hi=w.cum_max("value"), cm=w.cum_mean("x").then(lambda x: F.round(x, 9)))
+    return out.select("event_id", "cs", "cc", "lo", "hi", "cm")
+
+
+@_query("events", f"""SELECT event_id, round(avg(x) OVER s, 9) AS av, sum(x) OVER s::BIGINT AS su, min(value) OVER s AS lo, max(value) OVER s AS hi
+  FROM (SELECT *, event_id % 10 AS x FROM events) WINDOW s AS ({_W} ROWS 3 PRECEDING)""")
+def win_moving(t):
+    out = t.derive(x=c("event_id") % 10).window(by="user_id", order="ts", av=w.moving_avg("x", 4).then(lambda x: F.round(x, 9)), su=w.moving_sum("x", 4), lo=w.moving_min("value", 4), hi=w.moving_max("value", 4))
+    return out.select("event_id", "av", "su", "lo", "hi")
+
+
+@_query("lineitem", f"""SELECT {LINE_SQL}, l_quantity / sum(l_quantity) OVER p AS share, count(DISTINCT l_returnflag) OVER p AS flags, max(l_tax) OVER p AS tax FROM lineitem WINDOW p AS (PARTITION BY l_orderkey)""")
+def win_partition_aggs(t):
+    out = t.window(by="l_orderkey", total=a.sum_("l_quantity"), flags=w.distinct_in("l_returnflag"), tax=a.max_("l_tax"))
+    return out.derive(share=c("l_quantity") / c("total")).select(*LINE_KEY, "share", "flags", "tax")
+
+
+@_query("events", f"SELECT event_id, first_value(event_type) OVER ({_W}) AS f, last_value(event_type) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM events")
+def win_first_last(t):
+    return t.window(by="user_id", order="ts", f=w.first_row("event_type"), l=w.last_row("event_type")).select("event_id", "f", "l")
+
+
+@_query("orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2")
+def win_topn_per_group(t):
+    out = t.window(by="o_custkey", order=[desc("o_totalprice"), "o_orderkey"], n=w.row_number()).where(c("n") <= 2)
+    return out.select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# ---------------------------------------------------------------- strings
+
+
+@_query("part", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, length(p_name) AS n, reverse(p_name) AS r, trim('  ' || p_name || ' ') AS t, trim(p_brand, 'B#') AS tc, ltrim('  ' || p_name) AS tl, rtrim(p_name || '  ') AS tr FROM part")
+def str_case_trim(t):
+    return t.select(
+        "p_partkey", u=text.upper(c("p_name")), l=text.lower(c("p_brand")), n=text.length(c("p_name")), r=text.reverse(c("p_name")),
+        t=text.trim(F.concat(F.lit("  "), c("p_name"), F.lit(" "))), tc=text.trim(c("p_brand"), "B#"),
+        tl=text.trim_left(F.concat(F.lit("  "), c("p_name"))), tr=text.trim_right(F.concat(c("p_name"), F.lit("  "))),
+    )
+
+
+@_query("part", "SELECT p_partkey, lpad(p_type, greatest(12, length(p_type))::INT, '*') AS l, rpad(p_type, greatest(12, length(p_type))::INT, '.') AS r, repeat(p_type, 2) AS d FROM part")
+def str_pad(t):
+    return t.select("p_partkey", l=text.pad_left(c("p_type"), 12, "*"), r=text.pad_right(c("p_type"), 12, "."), d=text.repeat(c("p_type"), 2))
+
+
+@_query("part", "SELECT p_partkey, substr(p_name, 3, 4) AS a, right(p_name, 3) AS b, left(p_name, 2) AS l, substr(p_name, greatest(length(p_name) - 4, 0) + 1) AS e FROM part")
+def str_substring(t):
+    return t.select("p_partkey", a=text.substring(c("p_name"), 2, 4), b=text.right(c("p_name"), 3), l=text.left(c("p_name"), 2), e=text.substring(c("p_name"), -4))
+
+
+@_query("part", "SELECT p_partkey, nullif(split_part(p_name, ' ', 2), '') AS two, nullif(split_part(p_name, ' ', -1), '') AS last, nullif(split_part(p_name, ' ', 9), '') AS none FROM part")
+def str_split(t):
+    return t.select("p_partkey", two=text.split_part(c("p_name"), " ", 1), last=text.split_part(c("p_name"), " ", -1), none=text.split_part(c("p_name"), " ", 8))
+
+
+@_query("part", "SELECT p_partkey, replace(p_name, 'e', '3') AS r, contains(p_name, 're') AS c, starts_with(p_name, 'r') AS s, ends_with(p_name, 'e') AS e, nullif(strpos(p_name, 'e'), 0) - 1 AS i, p_name LIKE '%e_' AS l FROM part")
+def str_search(t):
+    x = c("p_name")
+    return t.select("p_partkey", r=text.replace(x, "e", "3"), c=text.contains(x, "re"), s=text.starts_with(x, "r"), e=text.ends_with(x, "e"), i=text.index_of(x, "e"), l=text.like(x, "%e_"))
+
+
+@_query("part", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS t FROM part")
+def str_title(t):
+    return t.select("p_partkey", t=text.title(c("p_name")))
+
+
+@_query("customer", "SELECT c_custkey, CASE WHEN round(c_acctbal, 1) = 0 THEN '0.0' ELSE format('{:,.1f}', round(c_acctbal, 1)) END AS n, format('{:,.0f}', round(c_acctbal * 100, 0)) || '%' AS p FROM customer")
+def str_format(t):
+    return t.select("c_custkey", n=text.format_number(c("c_acctbal"), 1), p=text.format_percent(c("c_acctbal"), 0))
+
+
+@_query("part", "SELECT p_partkey, sha256(p_name) AS s, md5(p_name) AS m, concat(p_name, '/', p_size) AS c FROM part")
+def str_hash_concat(t):
+    return t.select("p_partkey", s=text.sha256(c("p_name")), m=text.md5(c("p_name")), c=text.concat(c("p_name"), F.lit("/"), (c("p_size"), "int")))
+
+
+@_query("part", r"SELECT p_partkey, regexp_matches(p_brand, '#[1-3]') AS m, nullif(regexp_extract(p_brand, '([0-9])([0-9])', 2), '') AS x, regexp_replace(p_name, '([a-z]+) ([a-z]+)', '\2 \1') AS r, len(regexp_extract_all(p_name, '[aeiou]')) AS n FROM part")
+def regex_all(t):
+    return t.select(
+        "p_partkey", m=regex.regex_match(c("p_brand"), "#[1-3]"), x=regex.regex_extract(c("p_brand"), "([0-9])([0-9])", 2),
+        r=regex.regex_replace(c("p_name"), "(?P<one>[a-z]+) ([a-z]+)", "${2} $one"), n=regex.regex_count(c("p_name"), "[aeiou]"),
+    )
+
+
+# ---------------------------------------------------------------- numbers
+
+
+@_query("customer", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, sign(c_acctbal)::DOUBLE AS s, trunc(c_acctbal) AS t FROM customer")
+def math_round(t):
+    x = c("c_acctbal")
+    return t.select("c_custkey", a=m.abs_(x), r=m.round_(x, 1), f=m.floor(x), c=m.ceil(x), s=m.sign(x), t=m.trunc(x))
+
+
+@_query("customer", """SELECT c_custkey, round(sqrt(abs(c_acctbal)), 9) AS q, round(pow(c_custkey, 1.5), 4) AS p, round(exp(c_custkey / 1000.0), 9) AS e,
+  CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 9) WHEN c_acctbal = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS l, round(log10(c_custkey), 9) AS l10, round(log2(c_custkey), 9) AS l2, round(ln(c_custkey) / ln(3), 9) AS l3 FROM customer""")
+def math_power_log(t):
+    r9 = lambda x: F.when(F.isnan(x), x).otherwise(F.round(x, 9))
+    k, x = c("c_custkey"), c("c_acctbal")
+    return t.select("c_custkey", q=r9(m.sqrt(F.abs(x))), p=F.round(m.pow_(k, 1.5), 4), e=r9(m.exp(k / 1000.0)), l=r9(m.ln(x)), l10=r9(m.log10(k)), l2=r9(m.log2(k)), l3=r9(m.log(k, 3)))
+
+
+@_query("customer", """SELECT c_custkey, round(sin(x), 9) AS s, round(cos(x), 9) AS c, round(tan(x), 6) AS t, round(atan(x), 9) AS at, round(atan2(x, 2), 9) AS a2, round(asin(x / 1e6), 9) AS sn, round(acos(x / 1e6), 9) AS cs,
+  round(degrees(x), 6) AS d, round(radians(x), 9) AS r FROM (SELECT c_custkey, c_custkey / 7.0 AS x FROM customer)""")
+def math_trig(t):
+    x = c("c_custkey") / 7.0
+    r = lambda v, n=9: F.round(v, n)
+    return t.select("c_custkey", s=r(m.sin(x)), c=r(m.cos(x)), t=r(m.tan(x), 6), at=r(m.atan(x)), a2=r(m.atan2(x, F.lit(2.0))), sn=r(m.asin(x / 1e6)), cs=r(m.acos(x / 1e6)), d=r(m.degrees(x), 6), r=r(m.radians(x)))
+
+
+@_query("customer", """SELECT c_custkey, CASE WHEN k <> 0 THEN c_acctbal / k WHEN c_acctbal = 0 THEN 'nan'::DOUBLE ELSE sign(c_acctbal) * 'inf'::DOUBLE END AS q, k <> 0 AS fin, c_custkey // 7 AS d, c_custkey % 7 AS r
+  FROM (SELECT *, c_custkey % 4 AS k FROM customer)""")
+def math_division(t):
+    k = c("c_custkey") % 4
+    q = m.fdiv(c("c_acctbal"), k)
+    return t.select("c_custkey", q=q, fin=m.is_finite(q), d=m.div(c("c_custkey"), F.lit(7)), r=c("c_custkey") % 7)
+
+
+@_query("lineitem", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(38,6))) AS VARCHAR) AS total, CAST(max(CAST(l_extendedprice AS DECIMAL(38,6))) AS VARCHAR) AS top FROM lineitem GROUP BY ALL")
+def decimal_exact(t):
+    return t.derive(p=convert.to_decimal(c("l_extendedprice"))).group("l_returnflag").agg(total=a.sum_("p").then(lambda x: x.cast("string")), top=a.max_("p").then(lambda x: x.cast("string")))
+
+
+@_query("part", """SELECT p_partkey, TRY_CAST(x AS BIGINT) AS i, TRY_CAST(x AS DOUBLE) AS f, CASE WHEN x IN ('1') THEN true WHEN x = '0' THEN false END AS b, TRY_CAST(d AS DATE) AS dt
+  FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'x' || p_size ELSE p_size::VARCHAR END AS x, CASE WHEN p_size < 13 THEN '2024-' || lpad(p_size::VARCHAR, 2, '0') || '-15' ELSE '2024-13-' || p_size END AS d FROM part)""")
+def conv_try(t):
+    size = c("p_size").cast("string")
+    x = F.when(c("p_size") % 3 == 0, F.concat(F.lit("x"), size)).otherwise(size)
+    d = F.when(c("p_size") < 13, F.concat(F.lit("2024-"), F.lpad(size, 2, "0"), F.lit("-15"))).otherwise(F.concat(F.lit("2024-13-"), size))
+    return t.select("p_partkey", i=convert.try_to_int(x), f=convert.try_to_float(x), b=convert.try_to_bool(x), dt=convert.try_to_date(d))
+
+
+@_query("part", "SELECT p_partkey, p_size::DOUBLE AS f, trunc(p_retailprice)::BIGINT AS i, p_size::VARCHAR AS s, p_size / 100.0 AS pct, -p_size::DOUBLE AS neg FROM part")
+def conv_plain(t):
+    size = c("p_size").cast("string")
+    return t.select(
+        "p_partkey", f=convert.to_float(c("p_size")), i=convert.to_int(c("p_retailprice")), s=convert.to_string(c("p_size"), "int"),
+        pct=convert.parse_number(F.concat(size, F.lit("%"))), neg=convert.parse_number(F.concat(F.lit("("), size, F.lit(")"))),
+    )
+
+
+# ---------------------------------------------------------------- dates
+
+
+@_query("events", """SELECT event_id, year(ts)::BIGINT AS y, month(ts)::BIGINT AS mo, day(ts)::BIGINT AS d, hour(ts)::BIGINT AS h, minute(ts)::BIGINT AS mi, floor(second(ts))::BIGINT AS s, isodow(ts)::BIGINT AS wd, week(ts)::BIGINT AS wk,
+  quarter(ts)::BIGINT AS q, dayofyear(ts)::BIGINT AS dy, monthname(ts) AS mn, dayname(ts) AS dn, isodow(ts) >= 6 AS we, year(ts)::BIGINT + 543 AS be FROM events""")
+def date_parts(t):
+    x = c("ts")
+    return t.select(
+        "event_id", y=dates.year(x), mo=dates.month(x), d=dates.day(x), h=dates.hour(x), mi=dates.minute(x), s=dates.second(x), wd=dates.weekday(x), wk=dates.week(x), q=dates.quarter(x),
+        dy=dates.day_of_year(x), mn=dates.month_name(x), dn=dates.day_name(x), we=dates.is_weekend(x), be=dates.buddhist_year(x),
+    )
+
+
+@_query("orders", """SELECT o_orderkey, date_trunc('week', d)::DATE AS w, date_trunc('month', d)::DATE AS m, date_trunc('quarter', d)::DATE AS q, date_trunc('year', d)::DATE AS y, last_day(d) AS e, (year(d) + CASE WHEN month(d) >= 10 THEN 1 ELSE 0 END)::BIGINT AS fy
+  FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def date_truncs(t):
+    d = c("o_orderdate").cast("date")
+    return t.select("o_orderkey", w=dates.start_of_week(d), m=dates.start_of_month(d), q=dates.start_of_quarter(d), y=dates.start_of_year(d), e=dates.end_of_month(d), fy=dates.fiscal_year(d, 10))
+
+
+@_query("orders", "SELECT o_orderkey, d + 40 AS a, (d + INTERVAL 7 MONTH)::DATE AS m, (d - INTERVAL 2 YEAR)::DATE AS y FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
+def date_arith(t):
+    d = c("o_orderdate").cast("date")
+    return t.select("o_orderkey", a=dates.add_days(d, 40), m=dates.add_months(d, 7), y=dates.add_years(d, -2))
+
+
+@_query(("lineitem", "orders"), """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, datesub('day', o_orderdate, l_shipdate) AS d, datesub('month', o_orderdate, l_shipdate) AS m, datesub('year', o_orderdate, l_shipdate) AS y
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def date_between(t, u):
+    joined = t.join(u, left_on="l_orderkey", right_on="o_orderkey")
+    x, y = c("o_orderdate"), c("l_shipdate")
+    return joined.select(*LINE_KEY, d=dates.days_between(x, y), m=dates.months_between(x, y), y=dates.years_between(x, y))
+
+
+@_query("events", """SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS f, strftime(ts, '%d %b ') || (year(ts) + 543) AS b, ts::DATE AS p, date_trunc('second', ts) AS pt, NULL::DATE AS bad, make_date(year(ts), 1, 2) AS md FROM events""")
+def date_format_parse(t):
+    x = c("ts")
+    return t.select(
+        "event_id", f=dates.format_date(x, "%d/%m/%Y %H:%M"), b=dates.format_date(x, "%d %b %Y", era="buddhist"), p=dates.parse_date(dates.format_date(x, "%d/%m/%Y"), "%d/%m/%Y"),
+        pt=dates.parse_datetime(dates.format_date(x, "%Y-%m-%dT%H:%M:%S"), "%Y-%m-%dT%H:%M:%S"), bad=dates.try_parse_date(F.lit("x"), "%d/%m/%Y"), md=dates.make_date(dates.year(x), F.lit(1), F.lit(2)),
+    )
+
+
+@_query("events", "SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS b, floor(epoch(ts))::BIGINT AS u, make_timestamp((floor(epoch(ts)) * 1000000)::BIGINT) AS t FROM events")
+def time_bucket(t):
+    x = c("ts")
+    return t.select("event_id", b=dates.time_bucket(x, durations.minutes(F.lit(15))), u=dates.to_unix(x), t=dates.from_unix(dates.to_unix(x)))
+
+
+@_query("events", "SELECT event_id, s AS s, s / 60 AS m, s / 3600 AS h, s / 86400 AS d FROM (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')) / 1e6 AS s FROM events)")
+def duration_totals(t):
+    d = durations.between(c("ts"), F.lit("2020-01-01").cast("timestamp_ntz"))
+    return t.select("event_id", s=durations.total_seconds(d), m=durations.total_minutes(d), h=durations.total_hours(d), d=durations.total_days(d))
+
+
+@_query("events", "SELECT event_id, ts + INTERVAL 36 HOUR AS a, ts - INTERVAL 90 SECOND AS b FROM events")
+def duration_arith(t):
+    return t.select("event_id", a=c("ts") + durations.hours(F.lit(36)), b=c("ts") - durations.seconds(F.lit(90)))
+
+
+# ---------------------------------------------------------------- hashing, lists, JSON
+
+
+@_query("orders", None)
+def hash_sample(t):
+    return t.sample(fraction=0.1, seed=7, key="o_orderkey").select("o_orderkey", h=hashing.stable_hash(c("o_orderkey"), "bigint"))
+
+
+@_query("events", None)
+def sample_rows(t):
+    return t.sample(n=50, seed=3, key="event_id").select("event_id")
+
+
+@_query("part", "SELECT p_partkey, len(ws) AS n, list_reverse(ws) AS r, list_contains(ws, 'red') AS has, array_to_string(list_sort(ws), '+') AS s FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)")
+def list_functions(t):
+    ws = text.split(c("p_name"), " ")
+    return t.select("p_partkey", n=lists.size(ws), r=lists.reverse(ws), has=lists.contains(ws, "red"), s=lists.join(lists.sort(ws), "+"))
+
+
+@_query("events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path(t):
+    return t.select("event_id", k=F.get_json_object("props", "$.k"))
+
+
+# ---------------------------------------------------------------- benchmark analogues
+
+
+@_query("lineitem", "SELECT l_partkey, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(38,6))) AS DOUBLE) AS total FROM lineitem GROUP BY ALL")
+def bench_q2_many_groups(t):
+    return t.derive(p=_dec(c("l_extendedprice"))).group("l_partkey").agg(n=a.count(), total=a.sum_("p").then(lambda x: x.cast("double")))
+
+
+@_query(("lineitem", "part"), "SELECT p_type, CAST(sum(CAST(l_extendedprice AS DECIMAL(38,6))) AS DOUBLE) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def bench_q3_join(t, u):
+    joined = t.derive(p=_dec(c("l_extendedprice"))).join(u, left_on="l_partkey", right_on="p_partkey")
+    return joined.group("p_type").agg(total=a.sum_("p").then(lambda x: x.cast("double")))
+
+
+@_query("lineitem", f"SELECT {LINE_SQL} FROM lineitem ORDER BY l_extendedprice DESC, {LINE_SQL} LIMIT 5")
+def bench_q4_top(t):
+    return t.sort(desc("l_extendedprice"), *LINE_KEY).take(5).select(*LINE_KEY)
+
+
+@_query("lineitem", "SELECT l_linenumber, count_if(l_returnflag = 'A') AS \"A\", count_if(l_returnflag = 'N') AS \"N\", count_if(l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY ALL")
+def bench_q6_pivot(t):
+    return t.group("l_linenumber").pivot("l_returnflag", ["A", "N", "R"], n=a.count())
+
+
+@_query("lineitem", f"SELECT {LINE_SQL}, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL}) AS n FROM lineitem")
+def bench_q7_window(t):
+    return t.select(*LINE_KEY).window(by="l_orderkey", order=list(LINE_KEY), n=w.row_number())
+
+
+@_query("lineitem", "SELECT l_shipdate, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY ALL")
+def bench_q9_distinct(t):
+    return t.group("l_shipdate").agg(parts=a.count_distinct("l_partkey"))
+
+
+@_query("lineitem", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(38,6))) AS VARCHAR) AS total FROM lineitem GROUP BY ALL")
+def bench_q10_decimal(t):
+    return t.derive(p=_dec(c("l_extendedprice"))).group("l_returnflag").agg(total=a.sum_("p").then(lambda x: x.cast("string")))
