@@ -255,12 +255,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     if (rid, lo) in seen:
                         continue
                     seen.add((rid, lo))
-                    step = BAND if w["band"] else hi - lo + 1
-                    for s in range(lo, hi + 1, step):
+                    s = lo
+                    while s <= hi:  # by distance from the anchor, equal windows have equal bands
                         band = (w["at"] - s) // BAND if w["band"] else 0
-                        e = min(hi, s + step - 1) if not w["band"] else min(hi, w["at"] - band * BAND)
+                        e = min(hi, w["at"] - band * BAND) if w["band"] else hi
                         out.append(((w["k"] * 31 + band) % tasks, w["k"], rid, s, w["whole"], raw[s : e + length]))
                         size += e - s + length
+                        s = e + 1
                 if size > CHUNK:
                     yield _context_batch(out)
                     out, size = [], 0
