@@ -251,14 +251,14 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with the dropped lines gone from `text`; n_chars, if there, follows. Null texts stay null."""
     columns = docs.columns
-    kept = written(kept_lines(docs).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "kept"), "kept").withColumnRenamed("kept", "_kept")
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["_h"] == kept["_th"]), "left").withColumn("_lines", F.split("text", "\n"))
-    blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(NOT_SPACE), i)), lambda i: i.isNotNull())
-    stay = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
-    joined = joined.withColumn("_stay", stay)
-    lines = F.col("_lines")
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("_stay", lambda i: F.get(lines, i)), "\n"))
+    kept = written(kept_lines(docs).select(F.col("doc_id").alias("__mr_d"), F.col("th").alias("__mr_th"), "kept"), "kept").withColumnRenamed("kept", "__mr_kept")
+    rows = docs.withColumn("__mr_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__mr_d"]) & (rows["__mr_h"] == kept["__mr_th"]), "left").withColumn("__mr_lines", F.split("text", "\n"))
+    blank = F.filter(F.transform("__mr_lines", lambda x, i: F.when(~x.rlike(NOT_SPACE), i)), lambda i: i.isNotNull())
+    stay = F.sort_array(F.concat(F.coalesce("__mr_kept", F.array().cast("array<int>")), blank))
+    joined = joined.withColumn("__mr_stay", stay)
+    lines = F.col("__mr_lines")
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("__mr_stay", lambda i: F.get(lines, i)), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -215,17 +215,17 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """
     added = ["copy", "shard", "order_key"]
     docs = docs.drop(*added)
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    keyed = docs.withColumn("__mr_text_hash", F.xxhash64("text"))
     per_row = draws(sized(docs), shards)
     w = Window.partitionBy("doc_id", "source", "size").orderBy(F.size("copies").desc(), F.col("copies"))
-    numbered = per_row.withColumn("_k", F.row_number().over(w)).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_k", "copies").filter(F.size("copies") > 0)
-    own = keyed.withColumn("_n", _size()).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("_text_hash")))
+    numbered = per_row.withColumn("__mr_k", F.row_number().over(w)).select(F.col("doc_id").alias("__mr_d"), F.col("source").alias("__mr_s"), F.col("size").alias("__mr_n"), "__mr_k", "copies").filter(F.size("copies") > 0)
+    own = keyed.withColumn("__mr_n", _size()).withColumn("__mr_k", F.row_number().over(Window.partitionBy("doc_id", "source", "__mr_n").orderBy("__mr_text_hash")))
     joined = own.join(
         numbered,
-        reduce(lambda a, b: a & b, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("source").eqNullSafe(F.col("_s")), own["_n"] == numbered["_n"], own["_k"] == numbered["_k"]]),
+        reduce(lambda a, b: a & b, [F.col("doc_id").eqNullSafe(F.col("__mr_d")), F.col("source").eqNullSafe(F.col("__mr_s")), own["__mr_n"] == numbered["__mr_n"], own["__mr_k"] == numbered["__mr_k"]]),
     )
-    drawn = joined.withColumn("_c", F.explode("copies"))
+    drawn = joined.withColumn("__mr_c", F.explode("copies"))
     return drawn.select(
-        *docs.columns, F.col("_c.copy").alias("copy"), F.col("_c.shard").alias("shard"),
-        F.xxhash64(F.lit(SEED), F.col("_c.shard"), F.col("doc_id"), F.col("_c.copy")).alias("order_key"),
+        *docs.columns, F.col("__mr_c.copy").alias("copy"), F.col("__mr_c.shard").alias("shard"),
+        F.xxhash64(F.lit(SEED), F.col("__mr_c.shard"), F.col("doc_id"), F.col("__mr_c.copy")).alias("order_key"),
     )

@@ -256,8 +256,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that the rules reject; columns as they are."""
     key = F.struct("doc_id", F.xxhash64("text").alias("th"), "lang", "source")
     found = quality_rules(docs.select(key.alias("doc_id"), "lang", "source", "text"))
-    gone = found.filter(~F.col("kept")).select(*(F.col(f"doc_id.{c}").alias(f"_{c}") for c in ("doc_id", "th", "lang", "source"))).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_th")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    gone = found.filter(~F.col("kept")).select(*(F.col(f"doc_id.{c}").alias(f"__mr_{c}") for c in ("doc_id", "th", "lang", "source"))).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__mr_doc_id")) & (F.xxhash64("text") == F.col("__mr_th")) & F.col("lang").eqNullSafe(F.col("__mr_lang")) & F.col("source").eqNullSafe(F.col("__mr_source"))
     return docs.join(gone, same, "left_anti")
 
 

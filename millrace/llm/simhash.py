@@ -248,8 +248,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`docs` with one row of each component: that of smallest id; of equal ids, that of smallest text hash."""
     hashed, named = _rooted(docs, radius)
-    chosen = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_th")).distinct()
-    stay = docs.withColumn("_h", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left_semi")
+    chosen = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("__mr_d"), F.col("first.th").alias("__mr_th")).distinct()
+    stay = docs.withColumn("__mr_h", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("__mr_d")) & (F.col("__mr_h") == F.col("__mr_th")), "left_semi")
     if hashed.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id", "_h"])
+        stay = stay.dropDuplicates(["doc_id", "__mr_h"])
     return stay.select(*docs.columns)
