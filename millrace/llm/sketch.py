@@ -71,11 +71,11 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def _successors(rows: DataFrame) -> DataFrame:
-    """kid, h, n, c -> the same with nk, nh: the key of the next row in descending order, and of the first after the last."""
+    """kid, h, n, c -> the same as ck, ch, cn, cc, with nk, nh: the key of the next row in descending order, and of the first after the last."""
     parts = max(1, -(-rows.count() // RANGE))
-    order = (F.col("kid").desc(), F.col("h").desc())
+    order = (F.col("kid").desc_nulls_last(), F.col("h").desc())
     ranged = written(rows.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()), "ranges")
-    heads = ranged.groupBy("pid").agg(F.max(F.struct("kid", "h")).alias("head"))  # a row for each range
+    heads = ranged.groupBy("pid").agg(F.max(F.struct("kid", "h")).alias("head"))  # a row for each range; null is least
     by = Window.orderBy("pid")
     following = heads.select(
         "pid",
@@ -84,23 +84,27 @@ def _successors(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("pid").orderBy(*order)
     found = ranged.withColumn("nxt", F.lead(F.struct("kid", "h")).over(w)).join(following, "pid")
     nxt = F.coalesce("nxt", "head")
-    return found.select("kid", "h", "n", "c", nxt["kid"].alias("nk"), nxt["h"].alias("nh"))
+    return found.select(F.col("kid").alias("ck"), F.col("h").alias("ch"), F.col("n").alias("cn"), F.col("c").alias("cc"), nxt["kid"].alias("nk"), nxt["h"].alias("nh"))
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LEAST)).alias("kid"), F.xxhash64("text").alias("h"))
-    rows = written(base.groupBy("kid", "h").agg(F.first(F.char_length("text")).cast("bigint").alias("n"), F.count(F.lit(1)).alias("c")), "ids")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = written(base.groupBy(F.col("doc_id").alias("kid"), "h").agg(F.first(F.char_length("text")).cast("bigint").alias("n"), F.count(F.lit(1)).alias("c")), "ids")
     repeated = rows.filter("c > 1").limit(1).count() > 0
     if repeated:  # one row for all equal ones, told apart again at the end
-        base = base.dropDuplicates(["kid", "h"])
+        base = base.dropDuplicates(["doc_id", "h"])
     follows = written(_successors(rows), "successors")
-    # A row gives its beginning and sketch to the one before it.
-    wanted = follows.select(F.col("nk").alias("kid"), F.col("nh").alias("h"), F.col("kid").alias("ck"), F.col("h").alias("ch"), F.col("n"), F.col("c"))
-    giving = base.join(wanted, ["kid", "h"]).withColumn("beginning", F.expr("left(text, cast(n div 2 as int))"))
-    giving = with_sketch(giving, "text", "next_sketch").select(F.col("ck").alias("kid"), F.col("ch").alias("h"), "n", "c", "beginning", "next_sketch")
-    both = base.join(giving, ["kid", "h"])
+
+    def at(key: str, hashed: str):
+        return F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("h") == F.col(hashed))
+
+    # A row gives its beginning and sketch to the one before it. Both joins read the same columns of `base`, so its
+    # exchange, which holds the texts, is made once.
+    giving = base.join(follows, at("nk", "nh")).select("text", "ck", "ch", "cn", "cc")
+    giving = giving.withColumn("beginning", F.expr("left(text, cast(cn div 2 as int))"))
+    giving = with_sketch(giving, "text", "next_sketch").drop("text")
+    both = base.join(giving, at("ck", "ch")).withColumnsRenamed({"cn": "n", "cc": "c"})
     if repeated:  # all but the last of equal rows are followed by one like themselves
         own = F.struct(F.expr("left(text, cast(n div 2 as int))").alias("beginning"), F.lit(True).alias("same"))
         other = F.struct(F.col("beginning"), F.lit(False).alias("same"))
