@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import os
 import re
 
 from pyspark.sql import Column
@@ -35,6 +37,25 @@ def java_format(pattern: str, lenient: bool = False) -> str:
     return "".join([*out, flush()])
 
 
+_clock: list[dt.datetime] = []
+
+
+def clock() -> dt.datetime:
+    """The time of the run's first reading, so that a run has one; MILLRACE_NOW (ISO) sets it."""
+    if not _clock:
+        given = os.environ.get("MILLRACE_NOW")
+        _clock.append(dt.datetime.fromisoformat(given) if given else dt.datetime.now(dt.UTC).replace(tzinfo=None))
+    return _clock[0]
+
+
+def now() -> Column:
+    return F.lit(clock().isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def today() -> Column:
+    return F.lit(clock().date().isoformat()).cast("date")
+
+
 def _part(of):
     return lambda d: of(d).cast("bigint")
 

@@ -125,3 +125,8 @@ def remove(m: Column, key) -> Column:
 def merge(a: Column, b: Column) -> Column:
     """Both; where a key is in both, the value of b."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def with_field(record: Column, name: str, value: Column) -> Column:
+    """The record with a field added or replaced."""
+    return record.withField(name, value)

@@ -203,3 +203,8 @@ def test_lists(spark):
     ]
     for expr, want in cases:
         assert one(spark, expr) == want
+
+
+def test_one_clock_and_records(spark):
+    assert one(spark, dates.now()) == dates.clock() and one(spark, dates.today()) == dates.clock().date()
+    assert one(spark, lists.with_field(F.struct(F.lit(1).alias("a")), "b", F.lit(2))).asDict() == {"a": 1, "b": 2}
