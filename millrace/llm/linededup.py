@@ -41,48 +41,59 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h, line, place: the line's hash, its text, and its first place (a second hash, doc_id, th, line_no)."""
+    """h, line, counts, place: the line's hash, text and letter counts, and its first place (a second hash, doc_id, th, line_no)."""
     place = F.struct(F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "th", "line_no")
-    return lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min(place).alias("place"), F.first("line").alias("line"))
+    counted = lines.withColumn("counts", letter_counts(F.col("line")))
+    return counted.groupBy(F.xxhash64("line").alias("h")).agg(F.min(place).alias("place"), F.first("line").alias("line"), F.first("counts").alias("counts"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First place (from 1) and size of segment i (from 0) of a line of that length; the last ones are longer."""
-    size, extra = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(i) - (edits + 1 - extra))
-    return 1 + i * size + longer, size + F.when(F.lit(i) >= edits + 1 - extra, 1).otherwise(0)
+def _measured(lines: DataFrame, edits: int) -> DataFrame:
+    """With n, size, extra: the length, and that of its segments, of which the last `extra` are one longer."""
+    lines = lines.withColumn("n", F.char_length("line"))
+    lines = lines.withColumn("size", F.floor(F.col("n") / (edits + 1)).cast("int"))
+    return lines.withColumn("extra", F.col("n") - F.col("size") * (edits + 1))
+
+
+def _segment(size: Column, extra: Column, i: int, edits: int) -> tuple[Column, Column]:
+    """First place (from 1) and size of segment i (from 0)."""
+    return 1 + i * size + F.greatest(F.lit(0), i - (edits + 1) + extra), size + F.when(extra >= edits + 1 - i, 1).otherwise(0)
 
 
 def _key(length: Column, i: int, content: Column) -> Column:
     return F.xxhash64(length, F.lit(i), content)
 
 
-def segment_keys(line: Column, edits: int = EDITS) -> Column:
-    n = F.char_length(line)
+def segment_keys(edits: int = EDITS) -> Column:
+    """Of a line as ``_measured`` gives it."""
     keys = []
     for i in range(edits + 1):
-        at, size = _segment(n, i, edits)
-        keys.append(_key(n, i, F.substring(line, at, size)))
+        at, size = _segment(F.col("size"), F.col("extra"), i, edits)
+        keys.append(_key(F.col("n"), i, F.substring("line", at, size)))
     return F.array(*keys)
 
 
-def probe_keys(line: Column, least: int, edits: int = EDITS) -> Column:
-    """(key, shorter by) of each substring that can be a segment of an indexed line."""
-    n, found = F.char_length(line), []
+def probe_keys(least: int, edits: int = EDITS) -> Column:
+    """Keys of the substrings that can be a segment of an indexed line; null for lines below `least`."""
+    found = []
     for short in range(edits + 1):
-        length = n - short
+        length = F.col("n") - short
+        # One less in length is one less in `extra`, or in `size` with all segments but one longer.
+        size = F.col("size") - F.when(F.col("extra") < short, 1).otherwise(0)
+        extra = F.col("extra") - short + F.when(F.col("extra") < short, edits + 1).otherwise(0)
         for i in range(edits + 1):
-            at, size = _segment(length, i, edits)
+            at, wide = _segment(size, extra, i, edits)
             low, high = max(-i, short - (edits - i)), min(i, short + (edits - i))
-            found += [F.struct(_key(length, i, F.substring(line, at + off, size)).alias("key"), F.lit(short).alias("short")) for off in range(low, high + 1)]
-    return F.filter(F.array(*found), lambda x: n - x["short"] >= least)
+            for off in range(low, high + 1):
+                key = _key(length, i, F.substring("line", at + off, wide))
+                found.append(F.when(length >= least, key) if short else key)
+    return F.array(*found)
 
 
 def letter_counts(line: Column) -> Column:
     """Counts of COUNTED modulo 16, each in four bits of a long."""
     total = F.lit(0).cast("bigint")
     for k, c in enumerate(COUNTED):
-        count = (F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("bigint")
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("bigint")
         total = total.bitwiseOR(F.shiftleft(count, 4 * k))
     return total
 
@@ -196,12 +207,12 @@ def _banded(x: Column, y: Column, k: int) -> Column:
 def near_pairs(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(a, place_a, b, place_b) of distinct lines within `edits` edits, each pair once."""
     # Both uses of this table read all its columns, so that its exchange, which holds the texts, is made once.
-    long = distinct.filter((F.char_length("line") >= least) & (F.col("place.line_no") >= 0))
-    index = long.select(F.explode(segment_keys(F.col("line"), edits)).alias("key"), F.col("h").alias("a"), letter_counts(F.col("line")).alias("ca"))
-    probe = long.select(F.explode(probe_keys(F.col("line"), least, edits)).alias("p"), F.col("h").alias("b"), letter_counts(F.col("line")).alias("cb"))
-    probe = probe.select(F.col("p.key").alias("key"), "b", "cb", (F.col("p.short") > 0).alias("longer"))
-    met = index.join(probe, "key").filter((F.col("a") != F.col("b")) & (F.col("longer") | (F.col("a") < F.col("b"))) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
-    pairs = met.select("a", "b").distinct()
+    long = distinct.filter((F.char_length("line") >= least) & (F.col("place.line_no") >= 0) & (F.pmod("counts", F.lit(2)) >= 0))
+    long = _measured(long, edits)
+    index = long.select(F.explode(segment_keys(edits)).alias("key"), F.col("h").alias("a"), F.col("counts").alias("ca"))
+    probe = long.select(F.explode(probe_keys(least, edits)).alias("key"), F.col("h").alias("b"), F.col("counts").alias("cb")).filter("key IS NOT NULL")
+    met = index.join(probe, "key").filter((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = long.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
     second = long.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"))
     return pairs.join(first, "a").join(second, "b").filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "place_a", "b", "place_b")
