@@ -7,33 +7,34 @@ joins each revisit record to its response, which has the payload's size.
 
 Archives are written by Spark's text writer, with the end of a record as its line separator: so the commit is
 atomic, a lost executor's file is written again, and the path may be in any store that Spark reaches. Files are
-gzip-compressed as a whole and hold at most ``FILE_BYTES`` of payload, since a reader holds a file in memory.
+gzip-compressed as a whole and hold at most ``FILE_RECORDS`` records, since a reader holds a file in memory.
 
-Scale. Payloads move once at most (to even out files); types are found from a partial aggregation of headers, so a
+Scale. Payloads move once, by digest; types are found from a partial aggregation of headers, so a
 payload that a third of all pages share is one row after it, and joins are plain ones that adaptive execution splits.
 
 Defined cases. A null payload is empty. Equal page ids with equal payloads: one row is the response, the others
 revisit it, with its id. Null page ids come last, so they respond only where no other does. A null url is
-left out. Other columns are ignored. Record ids are names of the page, number of its row and digest, so reruns
-write equal archives.
+left out. Other columns are ignored. Record ids are names of the page, its row's place in the files and the digest,
+so reruns write equal archives.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import importable_by_workers, shared_folder
+from millrace.session import importable_by_workers, shared_folder, written
 
 END, VERSION = "\r\n\r\n", "WARC/1.1"
-FILE_BYTES, DATE = 16 << 20, "2024-01-01T00:00:00Z"
+FILE_RECORDS, DATE = 4000, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed alphabet of base 32 (RFC 4648).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -48,23 +49,23 @@ def payload_digest(payload: Column) -> Column:
 
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """`pages` (page_id, url, payload as text) with payload_digest, payload_bytes, record_type and refers_to."""
-    rows = pages.select("page_id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", payload_digest(F.encode("payload", "UTF-8")))
-    headers = rows.select("payload_digest", "page_id").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n"))
-    shared = headers.filter("_n > 1")
+    """`pages` (page_id, url, payload as text) with payload_digest, payload_bytes, row, record_type, refers_to and its row.
+
+    Only headers are aggregated. One exchange moves the payloads, by digest, to meet the first of their kind; as it
+    feeds nothing but a join, a digest that many pages share is split over several tasks.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("payload", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("payload_digest", payload_digest(F.encode("payload", "UTF-8")))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first")
+    shared = written(rows.groupBy("payload_digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
     joined = rows.join(shared, "payload_digest", "left")
-    # Rows of the first id itself: one of them responds.
-    again = Window.partitionBy("payload_digest", "page_id").orderBy("url")
-    first = F.col("page_id").eqNullSafe(F.col("first_id"))
-    heads = joined.filter(F.col("_n").isNotNull() & first).withColumn("_k", F.row_number().over(again))
-    rest = joined.filter(F.col("_n").isNull() | ~first).withColumn("_k", F.lit(1))
-    both = heads.unionByName(rest)
-    responds = F.col("_n").isNull() | (F.col("payload_bytes") < least_bytes) | (first & (F.col("_k") == 1))
-    return both.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.col("_k").alias("row"),
+    joined = joined.withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
+    responds = F.col("first").isNull() | (F.col("payload_bytes") < least_bytes) | (F.col("first.row") == F.col("row"))
+    return joined.select(
+        "page_id", "url", "payload", "payload_bytes", "payload_digest", "row",
         F.when(responds, "response").otherwise("revisit").alias("record_type"),
-        F.when(~responds, F.col("first_id")).alias("refers_to"),
+        F.when(~responds, F.col("first.page_id")).alias("refers_to"),
+        F.when(~responds, F.col("first.row")).alias("refers_to_row"),
     )
 
 
@@ -88,7 +89,7 @@ def records(resolved: DataFrame) -> DataFrame:
             line("WARC-Target-URI", clean),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
             line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-            line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.lit(1), F.col("payload_digest")))),
+            line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("refers_to_row"), F.col("payload_digest")))),
             line("X-Page-Id", F.col("page_id").cast("string")),
             line("Content-Type", F.when(~revisit, F.lit("text/html; charset=utf-8"))),
             line("Content-Length", F.octet_length(body).cast("string")),
@@ -98,38 +99,41 @@ def records(resolved: DataFrame) -> DataFrame:
 
 
 def write_archives(resolved: DataFrame, path: str) -> None:
-    """Writes the records of ``resolve`` as gzip-compressed archives below `path`."""
-    total = resolved.agg(F.coalesce(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 512), F.lit(0)).alias("b")).first()["b"]
-    files = max(1, -(-int(total) // FILE_BYTES))
-    # Even files whatever the payloads' order; a page's record goes to a file by its id.
-    dealt = resolved.repartition(files, F.xxhash64("page_id", "payload_digest", "row"))
-    records(dealt).write.option("compression", "gzip").option("lineSep", END).text(path)
+    """Writes the records of ``resolve`` as gzip-compressed archives of at most FILE_RECORDS below `path`."""
+    writer = records(resolved).write.option("compression", "gzip").option("lineSep", END)
+    writer.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
-READ = "page_id bigint, url string, record_type string, payload_digest string, record_id string, refers_to_record string, payload binary"
+READ = "page_id bigint, url string, record_type string, payload_digest string, record_id string, refers_to_record string, payload_bytes bigint"
 
 
-def parse(raw: bytes) -> Iterator[tuple]:
-    """Records of an archive, found by their Content-Length."""
+def digest_of(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def parse(raw: bytes, payloads: bool) -> Iterator[tuple]:
+    """Records of an archive, found by their Content-Length; a response's size and digest are of what is read."""
     at = 0
     while at < len(raw):
         stop = raw.index(b"\r\n\r\n", at)
-        head = dict(_HEADER.findall(raw, at + len(VERSION) + 2, stop + 2))
+        head = {k: v.decode() for k, v in _HEADER.findall(raw, at + len(VERSION) + 2, stop + 2)}
         start = stop + 4
         end = start + int(head[b"Content-Length"])
-        text = lambda key: head[key].decode() if key in head else None  # noqa: B023, E731
-        page = text(b"X-Page-Id")
-        yield (int(page) if page is not None else None, text(b"WARC-Target-URI"), text(b"WARC-Type"), text(b"WARC-Payload-Digest").removeprefix("sha1:"), text(b"WARC-Record-ID"), text(b"WARC-Refers-To"), raw[start:end])
+        page, kind, body = head.get(b"X-Page-Id"), head[b"WARC-Type"], raw[start:end]
+        digest = digest_of(body) if kind == "response" else head[b"WARC-Payload-Digest"].removeprefix("sha1:")
+        row = (None if page is None else int(page), head.get(b"WARC-Target-URI"), kind, digest, head[b"WARC-Record-ID"], head.get(b"WARC-Refers-To"), len(body) if kind == "response" else None)
+        yield (*row, body) if payloads else row
         at = end + 4
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record in the archives below `path`."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each record in the archives below `path`, with its payload unless only headers are wanted."""
+    schema = READ + ", payload binary" * payloads
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in READ.split(", ")]
-        kinds = (pa.int64(), *[pa.string()] * 5, pa.binary())
+        names = [x.split()[0] for x in schema.split(", ")]
+        kinds = (pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary())
         for batch in batches:
             for content in batch.column("content"):
                 # A file may be several gzip members.
@@ -138,34 +142,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     member = zlib.decompressobj(31)
                     raw.append(member.decompress(left))
                     left = member.unused_data
-                rows = list(parse(b"".join(raw)))
+                rows = list(parse(b"".join(raw), payloads))
                 for a in range(0, len(rows), 1000):
                     columns = zip(*rows[a : a + 1000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=False)], names=names)
 
     importable_by_workers(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parsed, READ)
-
-
-def digest_of(payload: bytes) -> str:
-    import hashlib
-
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return files.mapInArrow(parsed, schema)
 
 
 def join_revisits(found: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of records read back; a revisit record gets the
-    size of the response that it refers to. The digest of a response is that of the payload as read."""
-    heads = found.select(
-        "page_id", "record_type", "record_id", "refers_to_record", F.octet_length("payload").cast("bigint").alias("size"),
-        F.when(F.col("record_type") == "response", payload_digest(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-    )
-    responses = heads.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("size").alias("payload_bytes"))
-    revisits = heads.filter("record_type = 'revisit'").join(responses, "refers_to_record", "left")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records read back: a revisit record gets the
+    size of the response that it refers to."""
+    responses = found.filter("record_type = 'response'")
+    named = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), "payload_bytes")
+    revisits = found.filter("record_type = 'revisit'").drop("payload_bytes").join(named, "refers_to_record", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    own = heads.filter("record_type = 'response'").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"))
-    return own.unionByName(revisits.select(*columns))
+    return responses.withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns).unionByName(revisits.select(*columns))
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -173,4 +167,4 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/archives-{uuid.uuid4().hex[:8]}"
     write_archives(resolve(pages.select("page_id", "url", F.col("html").alias("payload"))), path)
-    return join_revisits(read_archives(spark, path))
+    return join_revisits(written(read_archives(spark, path, payloads=False), "records"))
