@@ -11,11 +11,12 @@ gzip-compressed as a whole and hold at most ``FILE_RECORDS`` records, since a re
 
 Scale. Payloads move once, by digest; types are found from a partial aggregation of headers, so a
 payload that a third of all pages share is one row after it, and joins are plain ones that adaptive execution splits.
+Where there are more rows equal in page, url and digest than a broadcast holds, payloads move once more to meet them.
 
-Defined cases. A null payload is empty. Equal page ids with equal payloads: one row is the response, the others
-revisit it, with its id. Null page ids come last, so they respond only where no other does. A null url is
-left out. Other columns are ignored. Record ids are names of the page, its row's place in the files and the digest,
-so reruns write equal archives.
+Defined cases. A null payload is empty. Equal page ids with equal payloads: the row of the smallest url is the response,
+the others revisit it, with its id. Null page ids, and null urls of one page, come last, so they respond only where
+no other does. A null url is left out. Other columns are ignored. Record ids are names of page, url, digest and the
+number among equal rows, so reruns write equal records, however the input is split.
 """
 
 from __future__ import annotations
@@ -49,29 +50,43 @@ def payload_digest(payload: Column) -> Column:
 
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """`pages` (page_id, url, payload as text) with payload_digest, payload_bytes, row, record_type, refers_to and its row.
+    """`pages` (page_id, url, payload as text) with payload_digest, payload_bytes, copy, record_type, refers_to and its url.
 
     Only headers are aggregated. One exchange moves the payloads, by digest, to meet the first of their kind; as it
-    feeds nothing but a join, a digest that many pages share is split over several tasks.
+    feeds nothing but a join, a digest that many pages share is split over several tasks. A row is known by page,
+    url, digest and ``copy``, its number (from 1) among the rows that are equal in all of these: by nothing that
+    depends on how the input is split, as the headers and the records are read in jobs of their own.
     """
-    rows = pages.select("page_id", "url", F.coalesce("payload", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select("page_id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", payload_digest(F.encode("payload", "UTF-8")))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first")
-    shared = written(rows.groupBy("payload_digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
-    joined = rows.join(shared, "payload_digest", "left")
+    headers = written(rows.groupBy("payload_digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n")), "headers")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url")).alias("first")
+    shared = written(headers.groupBy("payload_digest").agg(first, F.sum("n").alias("total")).filter("total > 1").drop("total"), "shared")
+    equal = headers.filter("n > 1").select(F.col("payload_digest").alias("_d"), F.col("page_id").alias("_p"), F.col("url").alias("_u"), "n")
+    if equal.isEmpty():
+        joined = rows.withColumn("copy", F.lit(1).cast("bigint")).join(shared, "payload_digest", "left")
+    else:
+        # Equal rows become one row and their number, and rows again after the join.
+        same = (F.col("payload_digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u"))
+        alone = rows.join(equal, same, "left_anti").withColumn("n", F.lit(1).cast("bigint"))
+        several = rows.join(equal, same, "left_semi").groupBy("page_id", "url", "payload_digest").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
+        joined = alone.unionByName(several).join(shared, "payload_digest", "left")
+        joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
     joined = joined.withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
-    responds = F.col("first").isNull() | (F.col("payload_bytes") < least_bytes) | (F.col("first.row") == F.col("row"))
+    is_first = F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first.url").eqNullSafe(F.col("url")) & (F.col("copy") == 1)
+    responds = F.col("first").isNull() | (F.col("payload_bytes") < least_bytes) | is_first
     return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", "row",
+        "page_id", "url", "payload", "payload_bytes", "payload_digest", "copy",
         F.when(responds, "response").otherwise("revisit").alias("record_type"),
         F.when(~responds, F.col("first.page_id")).alias("refers_to"),
-        F.when(~responds, F.col("first.row")).alias("refers_to_row"),
+        F.when(~responds, F.col("first.url")).alias("refers_to_url"),
     )
 
 
-def _record_id(page_id: Column, row: Column, digest: Column) -> Column:
-    name = F.md5(F.concat_ws("/", F.coalesce(page_id.cast("string"), F.lit("null")), row.cast("string"), digest))
-    return F.regexp_replace(name, "(.{8})(.{4})(.{4})(.{4})(.{12})", "<urn:uuid:$1-$2-$3-$4-$5>")
+def _record_id(page_id: Column, url: Column, copy: Column, digest: Column) -> Column:
+    # Only the url, which is last, may have a slash; a letter before it keeps null apart.
+    parts = (F.coalesce(page_id.cast("string"), F.lit("null")), copy.cast("string"), digest, F.coalesce(F.concat(F.lit("u"), url), F.lit("")))
+    return F.regexp_replace(F.md5(F.concat_ws("/", *parts)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def records(resolved: DataFrame) -> DataFrame:
@@ -84,12 +99,12 @@ def records(resolved: DataFrame) -> DataFrame:
         F.concat(
             F.lit(f"{VERSION}\r\n"),
             line("WARC-Type", F.col("record_type")),
-            line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("row"), F.col("payload_digest"))),
+            line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("copy"), F.col("payload_digest"))),
             line("WARC-Date", F.lit(DATE)),
             line("WARC-Target-URI", clean),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
             line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-            line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("refers_to_row"), F.col("payload_digest")))),
+            line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("refers_to_url"), F.lit(1), F.col("payload_digest")))),
             line("X-Page-Id", F.col("page_id").cast("string")),
             line("Content-Type", F.when(~revisit, F.lit("text/html; charset=utf-8"))),
             line("Content-Length", F.octet_length(body).cast("string")),

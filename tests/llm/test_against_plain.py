@@ -427,3 +427,33 @@ def test_archives(spark):
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
         want.append((r["page_id"], len(raw), digest, "response" if head == r["page_id"] else "revisit", None if head == r["page_id"] else head))
     assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_archives_do_not_depend_on_splits(spark, tmp_path):
+    """The input is split otherwise when the records are written than when the responses are chosen."""
+    rows = [(i if i % 9 else None, f"u{i % 4}" if i % 5 else None, f"payload {i % 12}") for i in range(120)]
+    rows += [(7, "u3", "payload 7")] * 3
+    spark.createDataFrame(rows, "page_id bigint, url string, payload string").repartition(6).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    minimum, cost = "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"
+
+    def split(many):
+        spark.conf.set(minimum, "64" if many else "1")
+        spark.conf.set(cost, str(1 << 27) if many else "1")
+
+    found = []
+    try:
+        for many in (False, True):
+            split(many)
+            resolved = contract.warc.resolve(pages)
+            split(not many)
+            contract.warc.write_archives(resolved, f"{tmp_path}/archives{many}")
+            found.append(contract.warc.read_archives(spark, f"{tmp_path}/archives{many}").collect())
+    finally:
+        spark.conf.unset(minimum)
+        spark.conf.unset(cost)
+    assert sorted(found[0], key=str) == sorted(found[1], key=str)
+    ids = [r["record_id"] for r in found[0]]
+    responses = {r["record_id"]: r for r in found[0] if r["record_type"] == "response"}
+    assert len(ids) == len(set(ids)) == len(rows) and sorted(r["payload"].decode() for r in responses.values()) == sorted({r[2] for r in rows})
+    assert all(responses[r["refers_to_record"]]["payload_digest"] == r["payload_digest"] for r in found[0] if r["record_type"] == "revisit")
