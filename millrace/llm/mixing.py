@@ -6,8 +6,9 @@ finds the level at which all of it is shared in one step).
 
 Draws. A source's documents are dealt by hash into blocks. Whole passes take every block; the last, partial one
 takes blocks in a permuted order while they fit, then documents of the next block in hash order while they fit,
-then, ``FILLERS`` times, the document of those left that comes nearest to what is missing. So taken words differ from the target
-by about one word where a source has many documents, and by part of a document where it has few.
+then, in the same order from there on, every document that still fits into what is missing, until none does, and
+last the one document of those left that brings the words nearer to the target, if any does. So what is missing at
+the end is less than every document left, and what is over is less than what was missing.
 
 Shards. The numbers of blocks drawn from each source are split down a binary tree: at each node the left half
 gets a multivariate hypergeometric draw of the node's blocks, so that every output shard has an exact, random
@@ -18,7 +19,8 @@ All draws are hashes of ``SEED`` and names, so reruns agree.
 
 Scale. Documents are dealt by (source, block), of which a hot source has up to ``MOST_BLOCKS``; text never moves.
 What is ordered in one task has a row for each source, block of a source, or block's document. Quotas are arrays
-with an entry for each source.
+with an entry for each source. A round of the search for documents that fit (``fitting``) reads narrow rows and passes
+at least one block; as the rest of a passed block is above what is missing, few rounds are needed.
 
 Defined cases. Null texts have no words; documents without words have copies like others and take nothing. A
 source without words has target 0. Rows with equal ids are documents of their own. An empty table gives
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from millrace.session import written
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20_240_229
-FILLERS = 2
 BLOCK_DOCS, MOST_BLOCKS, SHARD_WORDS, LEAST_DEPTH, MOST_DEPTH = 64, 4096, 16_000_000, 2, 12
 
 
@@ -149,6 +150,51 @@ def _place(block: Column, blocks: Column, turn: Column) -> Column:
     return ((odd.bitwiseAND(low) * block).bitwiseAND(low) + shift.bitwiseAND(low)).bitwiseAND(low)
 
 
+def _swept(missing: Column, documents: Column) -> Column:
+    """Of documents (row, size) in order, the rows of those that fit into what is missing, one after the other, and what is missing then."""
+    start = F.struct(missing.alias("missing"), F.array().cast("array<int>").alias("rows"))
+
+    def step(state: Column, d: Column) -> Column:
+        fits = d["size"] <= state["missing"]
+        return F.struct(
+            F.when(fits, state["missing"] - d["size"]).otherwise(state["missing"]).alias("missing"),
+            F.when(fits, F.concat(state["rows"], F.array(d["row"]))).otherwise(state["rows"]).alias("rows"),
+        )
+
+    return F.aggregate(documents, start, step)
+
+
+def fitting(left: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`left` (skey, place, row, size), `missing` (skey, missing) -> what is taken of each place, and what is missing then.
+
+    In the order of place and row, every document is taken that fits into what is missing when its turn comes. A
+    place's part is skey, place, upper and rows: its documents of at most `upper` words, only those in `rows` if that is
+    not null. Each round takes places as a whole while their documents that fit do so together, and goes through the
+    next place one by one.
+    """
+    state, parts = missing.select("skey", "missing", F.lit(0).cast("bigint").alias("begin")), None
+    while True:
+        fits = left.join(state, "skey").filter((F.col("size") <= F.col("missing")) & (F.col("place") >= F.col("begin")))
+        sums = fits.groupBy("skey", "place", "missing").agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("ends", F.sum("words").over(Window.partitionBy("skey").orderBy("place")))
+        stop = F.min(F.when(F.col("ends") > F.col("missing"), F.col("place"))).over(Window.partitionBy("skey"))
+        sums = written(sums.withColumn("stop", stop).filter(F.coalesce(F.col("place") <= F.col("stop"), F.lit(True))), "fitting")
+        if sums.isEmpty():
+            return parts, state.select("skey", "missing")
+        at_stop = sums.filter("place = stop").select("skey", "place", F.col("missing").alias("upper"), (F.col("missing") - F.col("ends") + F.col("words")).alias("room"))
+        documents = F.array_sort(F.collect_list(F.struct("row", "size")))
+        cut = left.join(at_stop, ["skey", "place"]).filter("size <= room").groupBy("skey", "place", "upper", "room").agg(documents.alias("documents"))
+        cut = cut.select("skey", "place", "upper", _swept(F.col("room"), F.col("documents")).alias("swept"))
+        cut = written(at_stop.join(cut.drop("upper"), ["skey", "place"], "left").select("skey", "place", "upper", F.coalesce("swept.rows", F.array().cast("array<int>")).alias("rows"), F.coalesce("swept.missing", "room").alias("missing")), "cut")
+        whole = sums.filter("stop IS NULL OR place < stop").select("skey", "place", F.col("missing").alias("upper"), F.lit(None).cast("array<int>").alias("rows"))
+        part = whole.unionByName(cut.drop("missing"))
+        parts = part if parts is None else parts.unionByName(part)
+        # A source whose documents that fit are all taken is done.
+        done = sums.filter("stop IS NULL").groupBy("skey").agg((F.first("missing") - F.sum("words")).alias("now"), F.lit(MOST_BLOCKS).cast("bigint").alias("next"))
+        moved = done.unionByName(cut.select("skey", F.col("missing").alias("now"), (F.col("place") + 1).alias("next")))
+        state = written(state.join(moved, "skey", "left").select("skey", F.coalesce("now", "missing").alias("missing"), F.coalesce("next", "begin").alias("begin")), "missing")
+
+
 def draws(sizes: DataFrame, shards: int | None = None) -> DataFrame:
     """`sizes` (as of ``sized``) with source_size, target and copies: an array of (copy, shard), one for each draw."""
     rows = written(sizes.select("doc_id", "source", "size", source_key().alias("skey"), F.xxhash64(F.lit(SEED), "doc_id").alias("h")), "sizes")
@@ -181,27 +227,26 @@ def draws(sizes: DataFrame, shards: int | None = None) -> DataFrame:
     turns = F.sequence(F.lit(0).cast("bigint"), F.col("passes"))
     at = F.transform(turns, lambda t: F.struct(t.alias("copy"), shard_of(t * F.col("blocks") + _place(F.col("block"), F.col("blocks"), t)).alias("shard")))
     whole = F.coalesce(F.col("place") < F.col("cut"), F.lit(True))
-    per_block = written(words.join(ranges, "skey").select("skey", "block", "room", whole.alias("whole"), at.alias("at")), "copies")
+    per_block = written(words.join(ranges, "skey").select("skey", "block", "place", "room", whole.alias("whole"), at.alias("at")), "copies")
     chosen = written(placed.join(per_block, ["skey", "block"]).withColumn("partial", F.col("whole") | F.coalesce(F.col("upto") <= F.col("room"), F.lit(False))), "chosen")
-    # A few more documents where words are still missing: each time the one left that comes nearest.
+    # Where words are still missing: the documents that fit in the order of the partial pass, then the nearest one left.
     got = chosen.groupBy("skey").agg(F.sum(F.when(F.col("partial"), F.col("size")).otherwise(0)).alias("got"))
-    missing = plan.join(got, "skey").select("skey", (F.col("rest") - F.col("got")).alias("missing"))
-    left = chosen.filter(~F.col("partial") & (F.col("size") > 0)).select("skey", "block", "row", "h", "size")
-    last = None
-    for _ in range(FILLERS):
-        gap = F.abs(F.col("missing") - F.col("size"))
-        near = written(
-            left.join(missing, "skey").filter(gap < F.col("missing")).groupBy("skey")
-            .agg(F.min(F.struct(gap.alias("gap"), "h", "block", "row", "size", "missing")).alias("one"))
-            .select("skey", "one.block", "one.row", (F.col("one.missing") - F.col("one.size")).alias("missing")),
-            "fillers",
-        )
-        one = near.select("skey", "block", "row", F.lit(True).alias("extra"))
-        last = one if last is None else last.unionAll(one)
-        missing = near.select("skey", "missing")
-        left = left.join(one.drop("extra"), ["skey", "block", "row"], "left_anti")
+    missing = written(plan.join(got, "skey").select("skey", (F.col("rest") - F.col("got")).alias("missing")), "gaps")
+    left = chosen.filter(~F.col("partial") & (F.col("size") > 0)).select("skey", "place", "block", "row", "h", "size")
+    parts, missing = fitting(left, missing)
+    if parts is not None:
+        fits = (F.col("size") <= F.col("upper")) & (F.col("rows").isNull() | F.array_contains("rows", F.col("row")))
+        taken = F.col("partial") | ((F.col("size") > 0) & F.coalesce(fits, F.lit(False)))
+        chosen = written(chosen.join(parts, ["skey", "place"], "left").withColumn("partial", taken).drop("upper", "rows"), "fitted")
+        left = chosen.filter(~F.col("partial") & (F.col("size") > 0)).select("skey", "place", "block", "row", "h", "size")
+    gap = F.abs(F.col("missing") - F.col("size"))
+    nearest = written(
+        left.join(missing, "skey").filter(gap < F.col("missing")).groupBy("skey")
+        .agg(F.min(F.struct(gap.alias("gap"), "h", "block", "row")).alias("one")).select("skey", "one.block", "one.row", F.lit(True).alias("extra")),
+        "nearest",
+    )
     # A document outside the blocks drawn so far has no place in the partial pass; it goes to the shard of the last one drawn.
-    final = chosen.join(last, ["skey", "block", "row"], "left").join(plan.select("skey", "source_size", "target", "passes"), "skey")
+    final = chosen.join(nearest, ["skey", "block", "row"], "left").join(plan.select("skey", "source_size", "target", "passes"), "skey")
     n = F.col("passes") + F.when(F.col("partial") | F.coalesce("extra", F.lit(False)), 1).otherwise(0)
     copies = F.transform(F.slice("at", F.lit(1), n.cast("int")), lambda c: F.struct(c["copy"].alias("copy"), F.coalesce(c["shard"], F.lit(0).cast("bigint")).alias("shard")))
     return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))

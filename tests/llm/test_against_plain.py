@@ -282,6 +282,39 @@ def test_mixing_targets_and_quotas(docs, texts):
     assert abs(sum(taken.values()) - sum(target.values())) < 0.05 * sum(target.values())
 
 
+def test_mixing_meets_each_target_beside_very_long_documents(spark):
+    rng = random.Random(4)
+    rows = [(1000 * s + i, f"s{s}", n) for s in range(12) for i, n in enumerate([rng.randint(40, 160) for _ in range(300)] + [20_000] * 5)]
+    found = mixing.draws(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert len(found) == len(rows)
+    for s in {r["source"] for r in found}:
+        mine = [r for r in found if r["source"] == s]
+        missing = mine[0]["target"] - sum(len(r["copies"]) * r["size"] for r in mine)
+        assert abs(missing) < 0.01 * mine[0]["target"]
+        most = max(len(r["copies"]) for r in mine)
+        assert all(r["size"] > missing for r in mine if len(r["copies"]) < most)
+
+
+def test_fitting_follows_the_order(spark):
+    rng, order, want = random.Random(8), {}, {}
+    for s in range(20):
+        order[f"s{s}"] = sorted({(rng.randrange(30), rng.randrange(5)) for _ in range(60)})
+    rows = [(s, place, row, rng.choice([1, 2, 5, 30, 400])) for s in order for place, row in order[s]]
+    gaps = {s: float(rng.choice([0, 1, 90, 600.5, 10**6])) for s in order}
+    for s, room in gaps.items():
+        want[s] = set()
+        for _, place, row, size in (r for r in rows if r[0] == s):
+            if size <= room:
+                want[s].add((place, row))
+                room -= size
+        want[s, "missing"] = room
+    left = spark.createDataFrame(rows, "skey string, place long, row int, size long")
+    parts, missing = mixing.fitting(left, spark.createDataFrame(list(gaps.items()), "skey string, missing double"))
+    assert {(s, "missing"): m for s, m in missing.collect()} == {k: v for k, v in want.items() if isinstance(k, tuple)}
+    taken = left.join(parts, ["skey", "place"]).filter("size <= upper AND (rows IS NULL OR array_contains(rows, row))").collect()
+    assert sorted((r["skey"], r["place"], r["row"]) for r in taken) == sorted((s, *p) for s in order for p in want[s])
+
+
 def test_splitting_tree_is_exact_and_fair(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 300), ("c", 1), ("d", 0)], "skey string, quota long")
     rows = mixing.split_quotas(quotas, 3).collect()
