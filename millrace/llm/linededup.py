@@ -113,10 +113,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _common(x: Column, y: Column, cut) -> Column:
-    """Length of the common beginning (or end) of two texts of up to 2^20 characters; shorter for longer ones."""
+    """Length of the common beginning (or end) of two texts, of whatever length."""
     n = F.least(F.char_length(x), F.char_length(y))
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(20))))
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (cut(x, p + s) == cut(y, p + s)), p + s).otherwise(p))
+    # From the highest power of two in the shorter length downwards, bit by bit.
+    powers = F.array(*(F.lit(1 << k) for k in reversed(range(31))))
+    digits = F.length(F.bin(n))
+    return F.aggregate(F.slice(powers, 32 - digits, digits), F.lit(0), lambda p, s: F.when((p + s <= n) & (cut(x, p + s) == cut(y, p + s)), p + s).otherwise(p))
 
 
 def middles(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -141,6 +142,33 @@ def test_bit_parallel_distance(spark):
         assert r["w"] == r["v"] == (_distance(r["a"], r["b"]) <= 2), r
 
 
+def test_edits_far_inside_very_long_lines(spark):
+    n, pairs = 2_000_000, []
+    line = "".join(random.Random(6).choices("abcdefgh ", k=n))
+
+    def changed(*places):
+        out = list(line)
+        for p in places:
+            out[p] = "X"
+        return "".join(out)
+
+    # Long common beginnings, ends and both.
+    for places in ((1_200_000, 1_700_000), (300_000, 900_000), (1_500_000, 1_500_010), (1_999_999,), (0, 1_200_000, 1_999_000)):
+        pairs.append((len(places) <= 2, line, changed(*places)))
+    pairs.append((True, line, line[:1_100_000] + line[1_100_001:1_900_000] + "X" + line[1_900_000:]))
+    pairs.append((True, "a" * (1 << 20), "a" * (1 << 20) + "b"))
+    found = spark.createDataFrame(pairs, "near boolean, a string, b string").repartition(4).select("near", linededup.within(F.col("a"), F.col("b")).alias("w")).collect()
+    assert all(r["w"] == r["near"] for r in found)
+    docs = spark.createDataFrame([(1, line), (2, changed(1_500_000, 1_500_010)), (3, changed(5, 1_200_000, 1_200_009))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_near"], r["n_links"]) for r in linededup.dedup_report(docs).collect()) == [(1, 0, 1), (2, 1, 1), (3, 0, 0)]
+
+
+def test_common_length_of_lines(spark):
+    pairs = [("a" * i + x, "a" * j + y) for i in range(10) for j in range(10) for x in ("", "b", "ca") for y in ("", "b", "da")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup._common(F.col("a"), F.col("b"), F.left).alias("n"))
+    assert all(r["n"] == len(os.path.commonprefix([r["a"], r["b"]])) for r in rows.collect())
+
+
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(15, 45))).strip() + "z" for _ in range(30)]
