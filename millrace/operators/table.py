@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing, text
 from millrace.operators.aggregates import Agg, Scope
 from millrace.operators.windows import Frames, Win
+from millrace.session import written
 
 ORD = "__ord"
 
@@ -114,13 +115,14 @@ class Table:
         """With the order in one bigint column: the row number where it was in several.
 
         Rows are ranged by their order; a range's rows are numbered from the counts of those before it, so no
-        task gets all rows.
+        task gets all rows. The ranges are written once: their borders are found from samples, and would differ
+        between the jobs that count and number the rows.
         """
         t = self.numbered()
         if len(t.ord) == 1 and t.ord[0][len(ORD)] == "a" and dict(t.df.dtypes)[t.ord[0]] == "bigint":
             return t
         parts = int(t.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = t.df.repartitionByRange(parts, *t._order()).withColumn("__part", F.spark_partition_id())
+        ranged = written(t.df.repartitionByRange(parts, *t._order()).withColumn("__part", F.spark_partition_id()), "ranges")
         counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
         before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
         n = F.row_number().over(Window.partitionBy("__part").orderBy(*t._order())) - 1
@@ -195,21 +197,17 @@ class Table:
         df = t.df.select(*t.columns, *(e.alias(name) for name, e in hidden.items()), *(F.col(c).alias(name) for c, name in old.items()))
         return Table(df, (*hidden, *old.values()), t.known)
 
-    def _limited(self, n: int, offset: int = 0) -> Table:
-        t = self.numbered()
-        df = t.df.orderBy(*t._order())
-        return t._next(df.offset(offset).limit(n) if offset else df.limit(n))
-
     def take(self, n: int) -> Table:
         if n < 0:
             raise PlanError("a number of rows is not negative")
-        return self._limited(n)
+        t = self.numbered()
+        return t._next(t.df.orderBy(*t._order()).limit(n))
 
     def skip(self, n: int) -> Table:
+        """All rows but the first n. `take` right after it is one top-n; else rows are numbered by ranges."""
         if n < 0:
             raise PlanError("a number of rows is not negative")
-        t = self.numbered()
-        return t._next(t.df.orderBy(*t._order()).offset(n))
+        return _Skipped(self, n)
 
     def tail(self, n: int) -> Table:
         """The last n rows, in their order."""
@@ -427,6 +425,37 @@ class Table:
             raise AssertionError(f"rows differ: {mine} and {theirs}")
 
 
+class _Skipped(Table):
+    """A table without its first rows, which are only cut when it is known what for."""
+
+    def __init__(self, table: Table, n: int):
+        self._table, self._n, self._cut = table, n, None
+
+    def _rest(self) -> Table:
+        if self._cut is None:
+            t = self._table.row_numbers("__skip")
+            self._cut = t._next(t.df.filter(F.col("__skip") >= self._n).drop("__skip"))
+        return self._cut
+
+    @property
+    def df(self) -> DataFrame:
+        return self._rest().df
+
+    @property
+    def ord(self) -> tuple[str, ...]:  # noqa: A003
+        return self._rest().ord
+
+    @property
+    def known(self) -> frozenset[str]:
+        return self._table.known
+
+    def take(self, n: int) -> Table:
+        if n < 0:
+            raise PlanError("a number of rows is not negative")
+        t = self._table.numbered()
+        return t._next(t.df.orderBy(*t._order()).offset(self._n).limit(n))
+
+
 class Grouped:
     """A table with keys; only `agg` and `pivot` take it."""
 

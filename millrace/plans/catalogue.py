@@ -226,6 +226,28 @@ def first_last(t):
     return t.sort("ts").group("user_id").agg(f=a.first("event_type"), l=a.last("value"))
 
 
+@_query("lineitem", f"SELECT {LINE_SQL}, both_flags, row_number() OVER (ORDER BY l_shipdate DESC, {LINE_SQL}) - 1 AS k FROM (SELECT *, l_returnflag || l_linestatus AS both_flags FROM lineitem)")
+def row_numbers(t):
+    t = t.derive(both_flags=F.concat("l_returnflag", "l_linestatus")).sort(desc("l_shipdate"), *LINE_KEY).row_numbers("k")
+    return t.select(*LINE_KEY, "both_flags", "k")
+
+
+@_query("events", "SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY value, event_id) AS n FROM events) WHERE n > 700")
+def skip_rest(t):
+    return t.sort("value", "event_id").skip(700).select("event_id", "value")
+
+
+@_query("lineitem", f"SELECT l_suppkey, string_agg(l_returnflag, '' ORDER BY l_shipdate DESC, {LINE_SQL}) AS flags FROM lineitem GROUP BY ALL")
+def string_agg_sorted(t):
+    return t.sort(desc("l_shipdate"), *LINE_KEY).group("l_suppkey").agg(flags=a.string_agg("l_returnflag", ""))
+
+
+@_query("lineitem", f"""SELECT l_suppkey, first(l_orderkey ORDER BY l_shipdate DESC, {LINE_SQL}) AS f, last(l_partkey ORDER BY l_shipdate DESC, {LINE_SQL}) AS l,
+  first(l_orderkey ORDER BY l_quantity DESC, l_shipdate DESC, {LINE_SQL}) AS top FROM lineitem GROUP BY ALL""")
+def first_last_sorted(t):
+    return t.sort(desc("l_shipdate"), *LINE_KEY).group("l_suppkey").agg(f=a.first("l_orderkey"), l=a.last("l_partkey"), top=a.arg_max("l_orderkey", "l_quantity"))
+
+
 @_query("nation", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY ALL")
 def string_agg(t):
     return t.sort("n_name").group("n_regionkey").agg(names=a.string_agg("n_name", "; "))

@@ -208,3 +208,26 @@ def test_lists(spark):
 def test_one_clock_and_records(spark):
     assert one(spark, dates.now()) == dates.clock() and one(spark, dates.today()) == dates.clock().date()
     assert one(spark, lists.with_field(F.struct(F.lit(1).alias("a")), "b", F.lit(2))).asDict() == {"a": 1, "b": 2}
+
+
+def test_row_numbers_of_wide_rows_are_gapless(spark, tmp_path):
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = Table(spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")).sort(desc("l_shipdate"), *keys)
+    numbered = t.row_numbers("k")
+    numbered.plain().write.parquet(f"{tmp_path}/numbered")
+    found = spark.read.parquet(f"{tmp_path}/numbered").agg(F.count_distinct("k"), F.min("k"), F.max("k"), F.count("k")).first()
+    n = t.count()
+    assert tuple(found) == (n, 0, n - 1, n)
+
+
+def test_sample_does_not_depend_on_other_columns(spark):
+    t = Table(spark.range(20_000, numPartitions=6).select("id", (F.col("id") * 7919 % 1000).alias("v"), F.lit("x" * 50).alias("wide"))).sort("v", "id")
+    rows = lambda x: {r["id"] for r in x.sample(n=200, seed=1).to_rows()}
+    assert rows(t) == rows(t.drop("wide")) and len(rows(t)) == 200
+
+
+def test_skip_then_take_and_skip_alone(spark):
+    t = Table(spark.range(500, numPartitions=5)).sort(desc("id"))
+    assert [r["id"] for r in t.skip(10).take(3).to_rows()] == [489, 488, 487]
+    assert [r["id"] for r in t.skip(497).to_rows()] == [2, 1, 0]
+    assert t.skip(600).to_rows() == []
