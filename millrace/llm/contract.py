@@ -61,7 +61,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,18 +13,24 @@ Exact, by a run-length index over what can repeat:
    statistics stream over the text from the samples alone. Windows whose match is at least LENGTH repeat.
 4. Spans of all repeating windows join the texts, and the bytes outside them stay.
 
+Passages. Strings are counted in bytes and removed; passages of ``PASSAGE`` words or more that another document has
+too, at whatever length in bytes, are only counted (``n_passage_words``). They take the same way, with hashes of words
+(runs without ASCII white space) in the place of bytes and hashes of windows in the place of the index.
+
 Scale. Text moves twice, to cut the territories of step 3 and to remove spans; all else are rows of hashes. A task of
 step 3 indexes ``INDEX_BYTES`` at a time. An anchor hash of more than ``MANY`` territories is settled by hashes of its
 windows in the task instead of by the index, and one of more than ``VERY_MANY`` is first split by the distance of
 windows from the anchor over several tasks. All of these are exact.
 
-Defined cases. Null texts are empty bytes. Rows of equal id and text are documents of their own and repeat each other.
+Defined cases. Null texts are empty bytes. Rows of equal id and text are documents of their own and repeat each other;
+for passages they are one document.
 Other columns are ignored. Texts under LENGTH bytes lose nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,33 +41,35 @@ from pyspark.sql import functions as F
 from millrace.session import importable_by_workers, written
 
 LENGTH, GRAM = 400, 64
-#: Bytes hashed at once, bytes in an index, and territories of one anchor for the index, and for one task.
-CHUNK, INDEX_BYTES, MANY, VERY_MANY, BAND = 4 << 20, 1 << 20, 400, 50_000, 16
+#: Words of a passage, words hashed together, and bytes from which a word's hash is xxh3's.
+PASSAGE, WORD_GRAM, LONG_WORD = 51, 8, 1024
+#: Bytes hashed at once (arrays that stay in the processor's cache) and sent at once; bytes in an index, and territories
+#: of one anchor for the index, and for one task.
+CHUNK, SENT, INDEX_BYTES, MANY, VERY_MANY, BAND = 1 << 18, 4 << 20, 1 << 20, 400, 50_000, 16
 #: Bytes of territories in a task.
 TASK_BYTES = 8 << 20
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of the `gram` (a power of two) bytes from each position."""
-    h = (raw.astype(np.uint64) + np.uint64(1)) * _ODD[0]
+def gram_hashes(symbols: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the `gram` (a power of two) symbols from each position."""
+    h = (symbols.astype(np.uint64) + np.uint64(1)) * _ODD[0]
     size = 1
     while size < gram:
-        left, right = h[: len(h) - size], h[size:]
-        h = left * _ODD[1] + right * _ODD[2]
+        h = h[:-size] * _ODD[1] + h[size:] * _ODD[2]
         h ^= h >> np.uint64(29)
         h *= _ODD[3]
         size *= 2
     return h
 
 
-def territories(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def territories(symbols: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of documents that stand end to end: first and last window start, anchor position and hash of each territory."""
     none = np.zeros(0, np.int64)
-    if len(raw) < length:
+    if len(symbols) < length:
         return none, none, none, none.astype(np.uint64)
-    h = gram_hashes(raw, gram)
-    width, n = length - gram + 1, len(raw) - length + 1
+    h = gram_hashes(symbols, gram)
+    width, n = length - gram + 1, len(symbols) - length + 1
     low = np.uint64((1 << 24) - 1)
     keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     pad = -len(keys) % width
@@ -79,6 +87,81 @@ def territories(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: i
     return first, last, a[new], h[a[new]]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class WordHashes:
+    """Hashes of the words of texts: polynomials of their bytes, from prefix sums."""
+
+    def __init__(self, most: int):
+        odd = int(_ODD[1])
+        self._letters = gram_hashes(np.arange(256), 1)
+        self._letters ^= self._letters >> np.uint64(31)
+        self._powers, self._inverse = np.ones(most + 1, np.uint64), np.ones(most + 1, np.uint64)
+        np.multiply.accumulate(np.full(most, odd, np.uint64), out=self._powers[1:])
+        np.multiply.accumulate(np.full(most, pow(odd, -1, 1 << 64), np.uint64), out=self._inverse[1:])
+
+    def _short(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from xxhash import xxh3_64_intdigest
+
+        array = np.frombuffer(raw, np.uint8)
+        inside = ~_SPACE[array]
+        begins = np.zeros(len(array) + 1, bool)
+        begins[np.concatenate([[0], ends[:-1]])] = True  # no word crosses from one document to the next
+        edge = np.zeros(len(array) + 1, np.int8)
+        edge[1:-1] = inside[1:].astype(np.int8) - inside[:-1]
+        start = np.flatnonzero((edge[:-1] > 0) | (begins[:-1] & inside))
+        before = np.concatenate([[False], inside[:-1]])
+        stop = np.flatnonzero(np.concatenate([(edge[:-1] < 0) | (begins[:-1] & before), inside[-1:]]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._letters[array] * self._powers[: len(array)], dtype=np.uint64)])
+        words = (sums[stop] - sums[start]) * self._inverse[start]
+        words ^= words >> np.uint64(32)
+        for i in np.flatnonzero(stop - start >= LONG_WORD).tolist():
+            words[i] = xxh3_64_intdigest(raw[start[i] : stop[i]], 5)
+        counts = np.searchsorted(start, ends) - np.searchsorted(start, np.concatenate([[0], ends[:-1]]))
+        return words, counts
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes of all texts and the number of words of each; `texts` are at most CHUNK bytes together, or one."""
+        ends = np.cumsum([len(t) for t in texts])
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        if ends[-1] <= CHUNK:
+            return self._short(b"".join(texts), ends)
+        found = []
+        raw, at = texts[0], 0
+        from xxhash import xxh3_64_intdigest
+
+        while at < len(raw):
+            stop = at + CHUNK
+            if stop < len(raw):  # back to the last white space, or on to the end of a word that is longer
+                piece = raw[at:stop]
+                back = max(piece.rfind(x) for x in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+                if back < 0:
+                    later = _WHITE.search(raw, stop)
+                    end = later.start() if later else len(raw)
+                    found.append(np.array([xxh3_64_intdigest(raw[at:end], 5)], np.uint64))
+                    at = end
+                    continue
+                stop = at + back + 1
+            piece = raw[at:stop]
+            found.append(self._short(piece, np.array([len(piece)]))[0])
+            at = stop
+        words = np.concatenate(found)
+        return words, np.array([len(words)])
+
+
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_hashes: list[WordHashes] = []
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    if not _hashes:
+        _hashes.append(WordHashes(CHUNK))
+    return _hashes[0].of(texts)
+
+
 def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, size in enumerate(sizes):
@@ -90,54 +173,90 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+#: A territory: hash of the anchor (odd for those of words) and of all it holds, document, window starts, anchor.
 ANCHORS = "k bigint, t bigint, rid bigint, lo int, hi int, at int"
 
 
-def anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid, text -> a row for each territory: hash of the anchor and of all bytes, rid, window starts, anchor."""
+def _found(symbols: np.ndarray, raw: bytes, ends: np.ndarray, rids: np.ndarray, shift: int, length: int, gram: int) -> pa.RecordBatch | None:
+    """Territories in documents end to end, or (with `shift`) in a part of one; a symbol is len(raw) / len(symbols) bytes."""
     from xxhash import xxh3_64_intdigest
 
+    lo, hi, at, k = territories(symbols, ends, length, gram)
+    if not len(lo):
+        return None
+    doc = np.searchsorted(ends, lo, "right")
+    begin = (ends - np.diff(ends, prepend=0))[doc] - shift
+    size, odd = symbols.itemsize, np.uint64(symbols.itemsize > 1)
+    t = np.fromiter((xxh3_64_intdigest(raw[x:y], 5) for x, y in zip((lo * size).tolist(), ((hi + length) * size).tolist(), strict=True)), np.uint64, len(lo))
+    k = (k & ~np.uint64(1)) | odd
+    columns = [k.view(np.int64), t.view(np.int64), rids[doc], *((x - begin).astype(np.int32) for x in (lo, hi, at))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "t", "rid", "lo", "hi", "at"])
+
+
+def anchors(rows: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """rid, text -> a row for each territory of windows of `length` bytes and of `passage` words."""
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rids = batch.column("text").to_pylist(), batch.column("rid").to_pylist()
+            texts, rids = batch.column("text").to_pylist(), np.array(batch.column("rid").to_pylist(), np.int64)
             whole = [t.encode() for t in texts]
             for a, b in _parts([len(t) for t in whole]):
-                if len(whole[a]) > CHUNK:  # a very long text, in windows of a part each
-                    pieces = [(s, whole[a][s : s + CHUNK + length - 1]) for s in range(0, len(whole[a]), CHUNK)]
-                else:
-                    pieces = [(0, b"".join(whole[a:b]))]
-                for shift, joined in pieces:
-                    ends = np.cumsum([len(t) for t in whole[a:b]]) if len(pieces) == 1 else np.array([len(joined)])
-                    lo, hi, at, k = territories(np.frombuffer(joined, np.uint8), ends, length)
-                    if not len(lo):
-                        continue
-                    doc = np.searchsorted(ends, lo, "right")
-                    begin = (ends - np.diff(ends, prepend=0))[doc] - shift
-                    t = np.fromiter((xxh3_64_intdigest(joined[x : y + length], 5) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-                    rid = np.array(rids[a:b], np.int64)[doc]
-                    columns = [k.view(np.int64), t.view(np.int64), rid, *((x - begin).astype(np.int32) for x in (lo, hi, at))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "t", "rid", "lo", "hi", "at"])
+                some, ids = whole[a:b], rids[a:b]
+                words, counts = word_hashes(some)
+                both = ((np.frombuffer(b"".join(some), np.uint8), np.cumsum([len(t) for t in some]), length, GRAM), (words, np.cumsum(counts), passage, WORD_GRAM))
+                for symbols, ends, window, gram in both:
+                    if len(symbols) <= CHUNK:
+                        pieces = [(0, symbols, ends)]
+                    else:  # one very long text, in windows of a part each
+                        cuts = range(0, len(symbols), CHUNK)
+                        pieces = [(s, x, np.array([len(x)])) for s in cuts for x in [symbols[s : s + CHUNK + window - 1]]]
+                    for shift, x, stops in pieces:
+                        out = _found(x, x.tobytes(), stops, ids, shift, window, gram)
+                        if out is not None:
+                            yield out
 
     importable_by_workers(rows.sparkSession)
     return rows.mapInArrow(found, ANCHORS)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling; `symbols` are below 2^15 and the last occurs once."""
+    """By prefix doubling; `symbols` are below 2^15 and the last occurs once.
+
+    A rank is the place of the first of those that are equal so far, so each round sorts only these; rank, rank of what
+    follows and position are one number, so they are sorted without an index.
+    """
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    key = (padded[:n] << 48) | (padded[1 : n + 1] << 32) | (padded[2 : n + 2] << 16) | padded[3 : n + 3]
-    size = 4
+    bits = np.uint64(n.bit_length())
+    if 3 * int(bits) > 64:
+        raise ValueError("too long for one index")
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    rank = np.zeros(n + 1, np.uint64)  # of what follows the end: 0
+    rank[:n] = symbols.astype(np.uint64) + np.uint64(1)
+    at, size = np.arange(n, dtype=np.uint64), 1
+    first = True
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if rank[order[-1]] == n - 1:
+        own = rank[at]
+        key = (own << np.uint64(16) if first else own << bits) | rank[np.minimum(at + np.uint64(size), np.uint64(n))]
+        packed = np.sort((key << bits) | at)
+        at, key = packed & mask, packed >> bits
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        places = np.arange(len(at), dtype=np.uint64)
+        begins = np.maximum.accumulate(np.where(new, places, np.uint64(0)))
+        if first:
+            rank[at] = begins + np.uint64(1)
+            size = 2
+        else:
+            older = key >> bits
+            group = np.maximum.accumulate(np.where(np.concatenate([[True], older[1:] != older[:-1]]), places, np.uint64(0)))
+            rank[at] = older + (begins - group)
+            size *= 2
+        alone = new & np.concatenate([new[1:], [True]])
+        at = at[~alone]
+        first = False
+        if not len(at):
+            order = np.empty(n, np.int64)
+            order[rank[:n].astype(np.int64) - 1] = np.arange(n)
             return order
-        key = rank << 32
-        key[: n - size] |= rank[size:] + 1
-        size *= 2
 
 
 def matching_statistics(symbols: np.ndarray) -> np.ndarray:
@@ -198,8 +317,22 @@ def repeating_hashed(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     return np.split(times[back] > 1, np.cumsum(counts)[:-1])
 
 
-def _settle(groups: Iterator[tuple[int, list[int]]], parts: list[bytes], length: int) -> dict[int, np.ndarray]:
-    """Flags of the windows of each part; groups: rows of one anchor hash."""
+def repeating_windows(parts: list[bytes], owners: list[int]) -> list[np.ndarray]:
+    """For parts that are window hashes: whether each window is also in a part of another owner."""
+    hashes = np.frombuffer(b"".join(parts), np.uint64)
+    sizes = [len(p) // 8 for p in parts]
+    owner = np.repeat(np.array(owners, np.int64), sizes)
+    order = np.lexsort((owner, hashes))
+    ordered, by = hashes[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    several = by[begins] != by[np.concatenate([begins[1:], [len(by)]]) - 1]
+    flags = np.empty(len(hashes), bool)
+    flags[order] = np.repeat(several, np.diff(np.concatenate([begins, [len(by)]])))
+    return np.split(flags, np.cumsum(sizes)[:-1])
+
+
+def _settle(groups: dict[int, list[int]], parts: list[bytes], owners: list[int], length: int) -> dict[int, np.ndarray]:
+    """Flags of the windows of each part; groups: rows by anchor hash."""
     found: dict[int, np.ndarray] = {}
     held: list[int] = []
     size = 0
@@ -209,7 +342,10 @@ def _settle(groups: Iterator[tuple[int, list[int]]], parts: list[bytes], length:
             found.update(zip(held, repeating([parts[i] for i in held], length), strict=True))
             held.clear()
 
-    for _, rows in groups:
+    for key, rows in groups.items():
+        if key & 1:
+            found.update(zip(rows, repeating_windows([parts[i] for i in rows], [owners[i] for i in rows]), strict=True))
+            continue
         if len(rows) > MANY:
             found.update(zip(rows, repeating_hashed([parts[i] for i in rows], length), strict=True))
             continue
@@ -223,46 +359,69 @@ def _settle(groups: Iterator[tuple[int, list[int]]], parts: list[bytes], length:
     return found
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for each row of `docs`."""
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Ranges (first, end) that touch or overlap, as one."""
+    merged: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    return merged
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_passage_words, kept (binary) for each row of `docs`."""
     spark = docs.sparkSession
     importable_by_workers(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = written(anchors(base.select("rid", "text"), length), "anchors")
-    by_anchor = found.groupBy("k").agg(F.count(F.lit(1)).alias("c"), (F.min("t") != F.max("t")).alias("mixed")).filter("c > 1")
-    shared = written(found.join(by_anchor.select("k", "mixed"), "k"), "shared")
+    found = written(anchors(base.select("rid", "text"), length, passage), "anchors")
+    of_words = F.col("k").bitwiseAND(F.lit(1).cast("bigint")) == 1
+    apart = F.min("rid") != F.max("rid")
+    by_anchor = found.groupBy("k").agg(F.count(F.lit(1)).alias("c"), (F.min("t") != F.max("t")).alias("mixed"), apart.alias("apart"))
+    # Written, so that the join has an exchange of its own on either side, and a hot anchor is split.
+    by_anchor = written(by_anchor.filter(F.when(of_words, F.col("apart")).otherwise(F.col("c") > 1)).select("k", "mixed"), "repeated")
+    shared = written(found.join(by_anchor, "k"), "shared")
     kinds = shared.filter("mixed").groupBy("k", "t").agg(
-        F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("rid", "lo", "hi", "at"))
+        F.when(of_words, apart).otherwise(F.count(F.lit(1)) > 1).alias("whole"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
     )
-    kinds = written(kinds, "kinds")
-    per_anchor = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    kinds = written(kinds.select("k", "t", "whole", "one.*"), "kinds")
+    per_anchor = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > VERY_MANY)
+    hot = written(per_anchor.select("k", F.lit(True).alias("band")), "hot")
     total = kinds.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)).alias("b")).first()["b"]
     tasks = max(1, -(-int(total) // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = kinds.join(per_anchor, "k").select("rid", F.struct("k", "lo", "hi", "at", (F.col("n") > 1).alias("whole"), (F.col("m") > VERY_MANY).alias("band")).alias("w"))
+    wanted = kinds.join(hot, "k", "left").select("rid", F.struct("k", "lo", "hi", "at", "whole", F.coalesce("band", F.lit(False)).alias("band")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     texts = base.select("rid", "text").join(wanted, "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_digest
+
         for batch in batches:
             out: list[tuple] = []
             size = 0
             seen: set[tuple] = set()  # rows of equal id and text give their territories once
             for rid, text, wanted in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 raw = text.encode()
+                words = word_hashes([raw])[0].tobytes() if any(w["k"] & 1 for w in wanted) else b""
                 for w in wanted:
                     lo, hi = w["lo"], w["hi"]
-                    if (rid, lo) in seen:
+                    if (rid, lo, w["k"] & 1) in seen:
                         continue
-                    seen.add((rid, lo))
+                    seen.add((rid, lo, w["k"] & 1))
                     s = lo
                     while s <= hi:  # by distance from the anchor, equal windows have equal bands
                         band = (w["at"] - s) // BAND if w["band"] else 0
                         e = min(hi, w["at"] - band * BAND) if w["band"] else hi
-                        out.append(((w["k"] * 31 + band) % tasks, w["k"], rid, s, w["whole"], raw[s : e + length]))
-                        size += e - s + length
+                        if w["k"] & 1:
+                            part = b"".join(xxh3_64_digest(words[8 * i : 8 * (i + passage)], 5) for i in range(s, e + 1))
+                        else:
+                            part = raw[s : e + length]
+                        out.append(((w["k"] * 31 + band) % tasks, w["k"], rid, s, w["whole"], part))
+                        size += len(part)
                         s = e + 1
-                if size > CHUNK:
+                if size > SENT:
                     yield _context_batch(out)
                     out, size = [], 0
             if out:
@@ -279,42 +438,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         groups: dict[int, list[int]] = {}
         for i in unique:
             groups.setdefault(keys[i], []).append(i)
-        flags = _settle(iter(groups.items()), parts, length)
+        flags = _settle(groups, parts, rids, length)
         out = []
         for i, flag in flags.items():
             if whole[i]:
                 continue  # repeats as a whole; it is here for the others to meet
             edges = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
-            out += [(rids[i], starts[i] + int(a), starts[i] + int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"rid": pa.array(columns[0], pa.int64()), "lo": pa.array(columns[1], pa.int32()), "hi": pa.array(columns[2], pa.int32())})
-
-    settled = contexts.groupBy("bucket").applyInArrow(settle, "rid bigint, lo int, hi int")
-    whole = shared.filter("NOT mixed").select("rid", "lo", "hi").unionAll(
-        shared.filter("mixed").join(kinds.filter("n > 1").select("k", "t"), ["k", "t"]).select("rid", "lo", "hi")
+            out += [(rids[i], starts[i] + int(a), starts[i] + int(b) - 1, keys[i] & 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("rid", "lo", "hi", "words"), columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)})
+
+    settled = contexts.groupBy("bucket").applyInArrow(settle, "rid bigint, lo int, hi int, words int")
+    of_kind = F.when(of_words, 1).otherwise(0).alias("words")
+    whole = shared.filter("NOT mixed").select("rid", "lo", "hi", of_kind).unionAll(
+        shared.filter("mixed").join(kinds.filter("whole").select("k", "t"), ["k", "t"]).select("rid", "lo", "hi", of_kind)
     )
-    spans = written(settled.unionAll(whole).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    spans = written(settled.unionAll(whole).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "words")).alias("spans")), "spans")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, merged = text.encode(), []
-                for lo, hi in sorted((s["lo"], s["hi"] + length) for s in found or ()):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(hi, merged[-1][1])
-                    else:
-                        merged.append([lo, hi])
+                raw = text.encode()
+                merged = _merged([(s["lo"], s["hi"] + length) for s in found or () if not s["words"]])
+                words = _merged([(s["lo"], s["hi"] + passage) for s in found or () if s["words"]])
                 at, kept = 0, []
                 for lo, hi in merged:
                     kept.append(raw[at:lo])
                     at = hi
-                out.append((doc_id, len(raw), sum(hi - lo for lo, hi in merged), len(merged), b"".join([*kept, raw[at:]])))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                out.append((doc_id, len(raw), sum(hi - lo for lo, hi in merged), len(merged), sum(hi - lo for lo, hi in words), b"".join([*kept, raw[at:]])))
+            kinds = (*[pa.int64()] * 5, pa.binary())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept"])
 
-    return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    joined = base.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, n_passage_words bigint, kept binary")
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:

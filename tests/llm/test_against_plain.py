@@ -412,6 +412,58 @@ def test_plain_words_equal_the_tokenizer():
         at += n
 
 
+def plain_passages(texts, size=51):
+    """Words of each document in windows of `size` words that another document has."""
+    words = {i: WORD.findall(t or "") for i, t in texts.items()}
+    owners = collections.defaultdict(set)
+    for i, w in words.items():
+        for s in range(len(w) - size + 1):
+            owners[tuple(w[s : s + size])].add(i)
+    return {i: len({s + k for s in range(len(w) - size + 1) if len(owners[tuple(w[s : s + size])]) > 1 for k in range(size)}) for i, w in words.items()}
+
+
+def test_passages_of_short_words_are_marked(spark):
+    """51 words of under 400 bytes are a passage, though no byte goes; 50 are none, nor are repeats in one document."""
+    rng = random.Random(9)
+    own = lambda n: [rng.choice("abcdefgh") + rng.choice("ijklmno") + rng.choice("pqrstuvwxyz") for _ in range(n)]
+    shared, fewer, inside = own(51), own(50), own(60)
+    docs = {}
+    for i in range(30):
+        middle = (shared, fewer, inside + own(1) + inside)[i % 3] if i < 28 else []
+        docs[i] = "  ".join(own(40)) + "\n" + " ".join(middle) + "\t" + " ".join(own(70))
+    docs[2] = docs[5]  # a whole copy
+    docs[40] = None
+    rows = repeats.remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    want = plain_passages(docs)
+    assert {r["doc_id"]: r["n_passage_words"] for r in rows} == want
+    assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] not in (2, 5)) and want[0] >= 51 and want[1] < 50
+
+
+def test_word_hashes_of_long_texts_are_those_of_short_ones():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 12))) for _ in range(90_000)]
+    words[500], words[40_000], words[70_000] = "x" * 5000, "y" * 700_000, "z" * 1024
+    text = "".join(w + rng.choice([" ", "\n", " \t"]) for w in words).encode()
+    assert len(text) > 4 * repeats.CHUNK
+    got, counts = repeats.word_hashes([text])
+    assert counts.tolist() == [len(words)]
+    alone = {w: repeats.word_hashes([b" " + w.encode()])[0][0] for w in {*words[:2000], *words[39_990:40_010], words[70_000]}}
+    assert all(got[i] == alone[w] for i, w in enumerate(words) if w in alone)
+    several, each = repeats.word_hashes([b"ab cd", b"", b"cd", b" ", b"ab"])
+    assert each.tolist() == [2, 0, 1, 0, 1] and several[0] == several[3] and several[1] == several[2] != several[0]
+
+
+def test_repeats_in_texts_above_a_chunk(spark):
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choices("abcdefg hij", k=n))
+    passage = own(3000)
+    size = repeats.CHUNK
+    docs = [(1, own(size - 1500) + passage + own(size)), (2, own(200) + passage + own(50)), (3, own(2 * size + 7))]
+    rows = {r["doc_id"]: r for r in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert 3000 <= rows[1]["n_removed"] < 3010 and rows[1]["n_removed"] == rows[2]["n_removed"] and rows[3]["n_removed"] == 0
+    assert rows[1]["n_passage_words"] > 200 and rows[3]["n_passage_words"] == 0
+
+
 def test_repeats_against_all_windows(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghé", k=rng.randint(2, 8)))
@@ -425,6 +477,7 @@ def test_repeats_against_all_windows(spark):
     docs.append((91, "ab" * 600))
     raw = {i: t.encode() for i, t in docs}
     seen = collections.Counter(t[s : s + 400] for t in raw.values() for s in range(len(t) - 399))
+    passages = plain_passages(dict(docs))
     for mode in ("index", "hashes"):
         many = repeats.MANY
         repeats.MANY = many if mode == "index" else 1
@@ -440,6 +493,7 @@ def test_repeats_against_all_windows(spark):
                     gone[s : s + 400] = True
             assert r["n_removed"] == gone.sum() and bytes(r["kept"]) == bytes(np.frombuffer(t, np.uint8)[~gone])
             assert r["n_spans"] == (np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()
+            assert r["n_passage_words"] == passages[r["doc_id"]]
 
 
 def test_matching_statistics():
