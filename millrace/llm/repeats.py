@@ -45,9 +45,9 @@ LENGTH, GRAM = 400, 64
 PASSAGE, WORD_GRAM, LONG_WORD = 51, 8, 1024
 #: Bytes hashed at once (arrays that stay in the processor's cache) and sent at once; bytes in an index, and territories
 #: of one anchor for the index, and for one task.
-CHUNK, SENT, INDEX_BYTES, MANY, VERY_MANY, BAND = 1 << 18, 4 << 20, 1 << 20, 400, 50_000, 16
-#: Bytes of territories in a task.
-TASK_BYTES = 8 << 20
+CHUNK, SENT, INDEX_BYTES, MANY, VERY_MANY, BAND = 1 << 16, 4 << 20, 1 << 17, 400, 50_000, 16
+#: Bytes of territories in a task, and territories sent at once.
+TASK_BYTES, ROWS = 8 << 20, 50_000
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -77,14 +77,18 @@ def territories(symbols: np.ndarray, ends: np.ndarray, length: int = LENGTH, gra
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     anchor = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
-    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
-    valid = np.flatnonzero(np.arange(n) + length <= ends[doc])
-    if not len(valid):
-        return none, none, none, none.astype(np.uint64)
-    a, d = anchor[valid], doc[valid]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (valid[1:] != valid[:-1] + 1)]))
-    first, last = valid[new], valid[np.concatenate([new[1:], [len(valid)]]) - 1]
-    return first, last, a[new], h[a[new]]
+    change = np.empty(n, bool)
+    change[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+    begins = np.concatenate([[0], ends[:-1]])
+    change[begins[begins < n]] = True
+    first = np.flatnonzero(change)
+    beyond = np.concatenate([first[1:], [n]])
+    final = ends[np.searchsorted(ends, first, "right")] - length  # the last window of the document
+    last = np.minimum(beyond - 1, final)
+    whole = first <= final
+    first, last = first[whole], last[whole]
+    return first, last, anchor[first], h[anchor[first]]
 
 
 _SPACE = np.zeros(256, bool)
@@ -177,20 +181,22 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 ANCHORS = "k bigint, t bigint, rid bigint, lo int, hi int, at int"
 
 
-def _found(symbols: np.ndarray, raw: bytes, ends: np.ndarray, rids: np.ndarray, shift: int, length: int, gram: int) -> pa.RecordBatch | None:
-    """Territories in documents end to end, or (with `shift`) in a part of one; a symbol is len(raw) / len(symbols) bytes."""
+def _found(symbols: np.ndarray, ends: np.ndarray, rids: np.ndarray, shift: int, length: int, gram: int) -> list[np.ndarray]:
+    """The columns of ANCHORS for territories in documents end to end, or (with `shift`) in a part of one."""
     from xxhash import xxh3_64_intdigest
 
     lo, hi, at, k = territories(symbols, ends, length, gram)
-    if not len(lo):
-        return None
+    raw = symbols.tobytes()
     doc = np.searchsorted(ends, lo, "right")
     begin = (ends - np.diff(ends, prepend=0))[doc] - shift
     size, odd = symbols.itemsize, np.uint64(symbols.itemsize > 1)
     t = np.fromiter((xxh3_64_intdigest(raw[x:y], 5) for x, y in zip((lo * size).tolist(), ((hi + length) * size).tolist(), strict=True)), np.uint64, len(lo))
     k = (k & ~np.uint64(1)) | odd
-    columns = [k.view(np.int64), t.view(np.int64), rids[doc], *((x - begin).astype(np.int32) for x in (lo, hi, at))]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "t", "rid", "lo", "hi", "at"])
+    return [k.view(np.int64), t.view(np.int64), rids[doc], *((x - begin).astype(np.int32) for x in (lo, hi, at))]
+
+
+def _joined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["k", "t", "rid", "lo", "hi", "at"])
 
 
 def anchors(rows: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
@@ -198,6 +204,7 @@ def anchors(rows: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Da
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             texts, rids = batch.column("text").to_pylist(), np.array(batch.column("rid").to_pylist(), np.int64)
             whole = [t.encode() for t in texts]
             for a, b in _parts([len(t) for t in whole]):
@@ -211,52 +218,59 @@ def anchors(rows: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Da
                         cuts = range(0, len(symbols), CHUNK)
                         pieces = [(s, x, np.array([len(x)])) for s in cuts for x in [symbols[s : s + CHUNK + window - 1]]]
                     for shift, x, stops in pieces:
-                        out = _found(x, x.tobytes(), stops, ids, shift, window, gram)
-                        if out is not None:
-                            yield out
+                        rows = _found(x, stops, ids, shift, window, gram)
+                        held.append(rows)
+                        size += len(rows[0])
+                        if size >= ROWS:
+                            yield _joined(held)
+                            held, size = [], 0
+            if size:
+                yield _joined(held)
 
     importable_by_workers(rows.sparkSession)
     return rows.mapInArrow(found, ANCHORS)
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling; `symbols` are below 2^15 and the last occurs once.
+def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """By prefix doubling; the last of `symbols` occurs once. Also the ranks by each number of first symbols on the way.
 
     A rank is the place of the first of those that are equal so far, so each round sorts only these; rank, rank of what
     follows and position are one number, so they are sorted without an index.
     """
     n = len(symbols)
-    bits = np.uint64(n.bit_length())
-    if 3 * int(bits) > 64:
+    bits = n.bit_length()
+    if 3 * bits > 64:
         raise ValueError("too long for one index")
+    wide = (int(symbols.max()) + 1).bit_length()
+    size = max(1, (64 - bits) // wide)
+    padded = np.concatenate([symbols.astype(np.uint64) + np.uint64(1), np.zeros(size, np.uint64)])
+    key = padded[:n].copy()
+    for k in range(1, size):
+        key = (key << np.uint64(wide)) | padded[k : n + k]
+    bits = np.uint64(bits)
     mask = (np.uint64(1) << bits) - np.uint64(1)
-    rank = np.zeros(n + 1, np.uint64)  # of what follows the end: 0
-    rank[:n] = symbols.astype(np.uint64) + np.uint64(1)
-    at, size = np.arange(n, dtype=np.uint64), 1
-    first = True
+    at = np.arange(n, dtype=np.uint64)
+    rank, levels, width = np.zeros(n + 1, np.uint64), [], 0  # what follows the end has rank 0
     while True:
-        own = rank[at]
-        key = (own << np.uint64(16) if first else own << bits) | rank[np.minimum(at + np.uint64(size), np.uint64(n))]
         packed = np.sort((key << bits) | at)
         at, key = packed & mask, packed >> bits
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        places = np.arange(len(at), dtype=np.uint64)
+        places = np.arange(1, len(at) + 1, dtype=np.uint64)
         begins = np.maximum.accumulate(np.where(new, places, np.uint64(0)))
-        if first:
-            rank[at] = begins + np.uint64(1)
-            size = 2
+        if not levels:
+            rank[at] = begins
         else:
             older = key >> bits
             group = np.maximum.accumulate(np.where(np.concatenate([[True], older[1:] != older[:-1]]), places, np.uint64(0)))
             rank[at] = older + (begins - group)
-            size *= 2
-        alone = new & np.concatenate([new[1:], [True]])
-        at = at[~alone]
-        first = False
+        width = 2 * width or size
+        levels.append((width, rank.copy()))
+        at = at[~(new & np.concatenate([new[1:], [True]]))]
         if not len(at):
             order = np.empty(n, np.int64)
             order[rank[:n].astype(np.int64) - 1] = np.arange(n)
-            return order
+            return order, levels
+        key = (rank[at] << bits) | rank[np.minimum(at + np.uint64(width), np.uint64(n))]
 
 
 def matching_statistics(symbols: np.ndarray) -> np.ndarray:
@@ -267,40 +281,44 @@ def matching_statistics(symbols: np.ndarray) -> np.ndarray:
     one longer, so between samples it falls by one with each position.
     """
     n = len(symbols)
-    order = suffix_array(symbols)
+    order, levels = suffix_array(symbols)
     transform = symbols[order - 1]  # of position 0 the last symbol, which occurs once
     borders = np.flatnonzero(transform[1:] != transform[:-1]) + 1
     starts, stops = order[np.concatenate([[0], borders])], order[np.concatenate([borders - 1, [n - 1]])]
     before = np.concatenate([[-1], order[borders - 1]])
     after = np.concatenate([order[borders], [-1]])
-    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    four = (padded[:n] << 48) | (padded[1 : n + 1] << 32) | (padded[2 : n + 2] << 16) | padded[3 : n + 3]
 
     def match(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lengths = np.zeros(len(i), np.int64)
-        for source, step in ((four, 4), (symbols, 1)):
-            live = np.flatnonzero(j >= 0)
-            while len(live):
-                x, y = i[live] + lengths[live], j[live] + lengths[live]
-                live = live[np.maximum(x, y) < n]
-                x, y = i[live] + lengths[live], j[live] + lengths[live]
-                live = live[source[x] == source[y]]
-                lengths[live] += step
+        there = j >= 0
+        i, j = i[there], j[there]
+        x, y = i.copy(), j.copy()
+        for width, rank in reversed(levels):  # different suffixes differ in the last rank, so each step is taken once at most
+            step = np.where(rank[x] == rank[y], width, 0)
+            x += step
+            y += step
+        live = np.arange(len(x))
+        while len(live):
+            live = live[symbols[x[live]] == symbols[y[live]]]
+            x[live] += 1
+            y[live] += 1
+        lengths[there] = x - i
         return lengths
 
     def streamed(samples: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        by = np.argsort(samples)
-        samples, lengths = samples[by], lengths[by]
-        last = np.searchsorted(samples, np.arange(n), "right") - 1
-        return np.where(last < 0, 0, lengths[last] - (np.arange(n) - samples[last]))
+        held = np.full(n, -1, np.int64)
+        held[samples] = lengths + samples
+        last = np.maximum.accumulate(np.where(held >= 0, np.arange(n), -1))
+        return np.where(last < 0, 0, held[last] - np.arange(n))
 
     return np.maximum(streamed(starts, match(starts, before)), streamed(stops, match(stops, after)))
 
 
 def repeating(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each part: whether the window from each possible start also starts elsewhere in the parts, by the index."""
-    # Symbols beside bytes end the parts and tell them apart.
-    symbols = np.concatenate([x for i, p in enumerate(parts) for x in (np.frombuffer(p, np.uint8).astype(np.int32), np.array([256 + i], np.int32))])
+    # A symbol beside bytes ends a part; no window holds one.
+    symbols = np.concatenate([x for p in parts for x in (np.frombuffer(p, np.uint8).astype(np.int32), np.array([256], np.int32))])
+    symbols[-1] = 257
     statistics = matching_statistics(symbols)
     out, at = [], 0
     for p in parts:
@@ -317,21 +335,21 @@ def repeating_hashed(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     return np.split(times[back] > 1, np.cumsum(counts)[:-1])
 
 
-def repeating_windows(parts: list[bytes], owners: list[int]) -> list[np.ndarray]:
-    """For parts that are window hashes: whether each window is also in a part of another owner."""
+def repeating_windows(parts: list[bytes], owners: list[int], several: list[bool]) -> list[np.ndarray]:
+    """For parts that are window hashes: whether each window is also in a part of another owner, or in one that several have."""
     hashes = np.frombuffer(b"".join(parts), np.uint64)
     sizes = [len(p) // 8 for p in parts]
-    owner = np.repeat(np.array(owners, np.int64), sizes)
+    owner, known = np.repeat(np.array(owners, np.int64), sizes), np.repeat(np.array(several, bool), sizes)
     order = np.lexsort((owner, hashes))
     ordered, by = hashes[order], owner[order]
     begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    several = by[begins] != by[np.concatenate([begins[1:], [len(by)]]) - 1]
+    shared = (by[begins] != by[np.concatenate([begins[1:], [len(by)]]) - 1]) | np.logical_or.reduceat(known[order], begins)
     flags = np.empty(len(hashes), bool)
-    flags[order] = np.repeat(several, np.diff(np.concatenate([begins, [len(by)]])))
+    flags[order] = np.repeat(shared, np.diff(np.concatenate([begins, [len(by)]])))
     return np.split(flags, np.cumsum(sizes)[:-1])
 
 
-def _settle(groups: dict[int, list[int]], parts: list[bytes], owners: list[int], length: int) -> dict[int, np.ndarray]:
+def _settle(groups: dict[int, list[int]], parts: list[bytes], owners: list[int], whole: list[bool], length: int) -> dict[int, np.ndarray]:
     """Flags of the windows of each part; groups: rows by anchor hash."""
     found: dict[int, np.ndarray] = {}
     held: list[int] = []
@@ -342,15 +360,16 @@ def _settle(groups: dict[int, list[int]], parts: list[bytes], owners: list[int],
             found.update(zip(held, repeating([parts[i] for i in held], length), strict=True))
             held.clear()
 
+    words = [i for key, rows in groups.items() if key & 1 for i in rows]  # equal windows have equal anchors, so all at once
+    found.update(zip(words, repeating_windows([parts[i] for i in words], [owners[i] for i in words], [whole[i] for i in words]) if words else (), strict=True))
     for key, rows in groups.items():
         if key & 1:
-            found.update(zip(rows, repeating_windows([parts[i] for i in rows], [owners[i] for i in rows]), strict=True))
             continue
         if len(rows) > MANY:
             found.update(zip(rows, repeating_hashed([parts[i] for i in rows], length), strict=True))
             continue
         own = sum(len(parts[i]) for i in rows)
-        if held and (size + own > INDEX_BYTES or len(held) + len(rows) > 30_000):
+        if held and size + own > INDEX_BYTES:
             index()
             size = 0
         held += rows
@@ -387,11 +406,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
         F.when(of_words, apart).otherwise(F.count(F.lit(1)) > 1).alias("whole"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
     )
     kinds = written(kinds.select("k", "t", "whole", "one.*"), "kinds")
+    # Equal territories of words in one document alone: what of them is in other documents is so at each place.
+    again = shared.filter(F.col("mixed") & of_words).join(kinds.filter(of_words & ~F.col("whole")).select("k", "t", F.col("lo").alias("_lo")), ["k", "t"])
+    again = again.filter("lo <> _lo").select("k", "t", F.lit(False).alias("whole"), "rid", "lo", "hi", "at")
     per_anchor = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > VERY_MANY)
     hot = written(per_anchor.select("k", F.lit(True).alias("band")), "hot")
     total = kinds.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)).alias("b")).first()["b"]
     tasks = max(1, -(-int(total) // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = kinds.join(hot, "k", "left").select("rid", F.struct("k", "lo", "hi", "at", "whole", F.coalesce("band", F.lit(False)).alias("band")).alias("w"))
+    wanted = kinds.unionByName(again).join(hot, "k", "left").select("rid", F.struct("k", "lo", "hi", "at", "whole", F.coalesce("band", F.lit(False)).alias("band")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     texts = base.select("rid", "text").join(wanted, "rid")
 
@@ -438,7 +460,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
         groups: dict[int, list[int]] = {}
         for i in unique:
             groups.setdefault(keys[i], []).append(i)
-        flags = _settle(groups, parts, rids, length)
+        flags = _settle(groups, parts, rids, whole, length)
         out = []
         for i, flag in flags.items():
             if whole[i]:
