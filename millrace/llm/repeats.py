@@ -19,8 +19,8 @@ too, at whatever length in bytes, are only counted (``n_passage_words``). They t
 
 Scale. Text moves twice, to cut the territories of step 3 and to remove spans; all else are rows of hashes. A task of
 step 3 indexes ``INDEX_BYTES`` at a time. An anchor hash of more than ``MANY`` territories is settled by hashes of its
-windows in the task instead of by the index, and one of more than ``VERY_MANY`` is first split by the distance of
-windows from the anchor over several tasks. All of these are exact.
+windows in the task instead of by the index, and one of more than ``VERY_MANY`` (a fiftieth of it for words) is first
+split by the distance of windows from the anchor over several tasks. All of these are exact.
 
 Defined cases. Null texts are empty bytes. Rows of equal id and text are documents of their own and repeat each other;
 for passages they are one document.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import importable_by_workers, written
@@ -177,8 +177,18 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-#: A territory: hash of the anchor (odd for those of words) and of all it holds, document, window starts, anchor.
-ANCHORS = "k bigint, t bigint, rid bigint, lo int, hi int, at int"
+#: A territory: hash of the anchor (odd for those of words) and of all it holds, document; first window start, and how far
+#: after it the last one and the anchor are, as one number.
+ANCHORS = "k bigint, t bigint, rid bigint, place bigint"
+#: Bits of the two distances, which are below the length of a window.
+NEAR = 12
+
+
+def placed() -> list[Column]:
+    """lo, hi, at: what `place` holds."""
+    lo = F.shiftright("place", 2 * NEAR)
+    after = lambda shift: F.shiftright("place", shift).bitwiseAND(F.lit((1 << NEAR) - 1).cast("bigint"))
+    return [x.cast("int").alias(n) for n, x in (("lo", lo), ("hi", lo + after(NEAR)), ("at", lo + after(0)))]
 
 
 def _found(symbols: np.ndarray, ends: np.ndarray, rids: np.ndarray, shift: int, length: int, gram: int) -> list[np.ndarray]:
@@ -192,11 +202,11 @@ def _found(symbols: np.ndarray, ends: np.ndarray, rids: np.ndarray, shift: int,
     size, odd = symbols.itemsize, np.uint64(symbols.itemsize > 1)
     t = np.fromiter((xxh3_64_intdigest(raw[x:y], 5) for x, y in zip((lo * size).tolist(), ((hi + length) * size).tolist(), strict=True)), np.uint64, len(lo))
     k = (k & ~np.uint64(1)) | odd
-    return [k.view(np.int64), t.view(np.int64), rids[doc], *((x - begin).astype(np.int32) for x in (lo, hi, at))]
+    return [k.view(np.int64), t.view(np.int64), rids[doc], ((lo - begin) << (2 * NEAR)) | ((hi - lo) << NEAR) | (at - lo)]
 
 
 def _joined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["k", "t", "rid", "lo", "hi", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["k", "t", "rid", "place"])
 
 
 def anchors(rows: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
@@ -398,10 +408,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     found = written(anchors(base.select("rid", "text"), length, passage), "anchors")
     of_words = F.col("k").bitwiseAND(F.lit(1).cast("bigint")) == 1
     apart = F.min("rid") != F.max("rid")
-    by_anchor = found.groupBy("k").agg(F.count(F.lit(1)).alias("c"), (F.min("t") != F.max("t")).alias("mixed"), apart.alias("apart"))
-    # Written, so that the join has an exchange of its own on either side, and a hot anchor is split.
-    by_anchor = written(by_anchor.filter(F.when(of_words, F.col("apart")).otherwise(F.col("c") > 1)).select("k", "mixed"), "repeated")
-    shared = written(found.join(by_anchor, "k"), "shared")
+    # Most anchors occur once: they are left out by their number alone, before anything else is compared. Written, so that
+    # the join has an exchange of its own on either side, and a hot anchor is split.
+    several = written(found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "several")
+    repeated = written(found.join(several, "k"), "repeated")
+    by_anchor = repeated.groupBy("k").agg((F.min("t") != F.max("t")).alias("mixed"), apart.alias("apart"))
+    by_anchor = written(by_anchor.filter(~of_words | F.col("apart")).select("k", "mixed"), "by_anchor")
+    shared = repeated.join(by_anchor, "k").select("k", "t", "rid", *placed(), "mixed")
+    shared = written(shared, "shared")
     kinds = shared.filter("mixed").groupBy("k", "t").agg(
         F.when(of_words, apart).otherwise(F.count(F.lit(1)) > 1).alias("whole"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
     )
@@ -409,7 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     # Equal territories of words in one document alone: what of them is in other documents is so at each place.
     again = shared.filter(F.col("mixed") & of_words).join(kinds.filter(of_words & ~F.col("whole")).select("k", "t", F.col("lo").alias("_lo")), ["k", "t"])
     again = again.filter("lo <> _lo").select("k", "t", F.lit(False).alias("whole"), "rid", "lo", "hi", "at")
-    per_anchor = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > VERY_MANY)
+    per_anchor = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.when(of_words, VERY_MANY // 50).otherwise(VERY_MANY))
     hot = written(per_anchor.select("k", F.lit(True).alias("band")), "hot")
     total = kinds.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)).alias("b")).first()["b"]
     tasks = max(1, -(-int(total) // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -432,10 +446,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
                     if (rid, lo, w["k"] & 1) in seen:
                         continue
                     seen.add((rid, lo, w["k"] & 1))
-                    s = lo
+                    s, wide = lo, 1 if w["k"] & 1 else BAND
                     while s <= hi:  # by distance from the anchor, equal windows have equal bands
-                        band = (w["at"] - s) // BAND if w["band"] else 0
-                        e = min(hi, w["at"] - band * BAND) if w["band"] else hi
+                        band = (w["at"] - s) // wide if w["band"] else 0
+                        e = min(hi, w["at"] - band * wide) if w["band"] else hi
                         if w["k"] & 1:
                             part = b"".join(xxh3_64_digest(words[8 * i : 8 * (i + passage)], 5) for i in range(s, e + 1))
                         else:

@@ -523,7 +523,7 @@ def test_window_bands_are_exact(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     plain = sorted(map(tuple, repeats.remove_repeats(frame).collect()))
     many = repeats.VERY_MANY
-    repeats.VERY_MANY = 2
+    repeats.VERY_MANY = 2  # of words: 0
     try:
         assert sorted(map(tuple, repeats.remove_repeats(frame).collect())) == plain
     finally:
