@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from millrace.functions import math as m
 from millrace.operators import Table, asc, desc, stats
 from millrace.operators import aggregates as a
 from millrace.operators import windows as w
+from millrace.session import shared_folder
+from millrace.sources import infer, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -684,6 +687,151 @@ def json_path(t):
     return t.select("event_id", k=F.get_json_object("props", "$.k"))
 
 
+# ---------------------------------------------------------------- lists and maps
+
+_XS = "list_transform(range(0, c_nationkey % 7), lambda i: (c_custkey * (i + 3)) % 11)"
+
+
+def _xs(t):
+    """A list of up to six numbers for each customer, and a second one."""
+    t = t.derive(n=c("c_nationkey") % 7)
+    xs = F.transform(lists.range_(F.lit(0).cast("bigint"), c("n").cast("bigint")), lambda i: (c("c_custkey") * (i + 3)) % 11)
+    return t.derive(xs=xs).select("c_custkey", "n", "xs")
+
+
+@_query("customer", f"""SELECT c_custkey, array_to_string(list_transform(xs, lambda x: x * x), ',') AS squares, array_to_string(list_filter(xs, lambda x: x > 4), ',') AS large,
+  coalesce(list_sum(xs), 0)::BIGINT AS folded, len(list_filter(xs, lambda x: x > 9)) > 0 AS some, len(list_filter(xs, lambda x: x < 10)) = len(xs) AS every,
+  list_filter(xs, lambda x: x > 6)[1] AS found, len(list_filter(xs, lambda x: x % 2 = 0))::BIGINT AS evens, list_min(xs) AS low, list_max(xs) AS high
+  FROM (SELECT c_custkey, {_XS} AS xs FROM customer)""")
+def list_higher_order(t):
+    t = _xs(t)
+    x = c("xs")
+    return t.select("c_custkey",
+        squares=lists.join(lists.map_(x, lambda v: v * v), ","), large=lists.join(lists.filter_(x, lambda v: v > 4), ","),
+        folded=lists.fold(x, F.lit(0).cast("bigint"), lambda a_, v: a_ + v), some=lists.any_(x, lambda v: v > 9), every=lists.all_(x, lambda v: v < 10),
+        found=lists.find(x, lambda v: v > 6), evens=lists.count(x, lambda v: v % 2 == 0), low=lists.min_(x), high=lists.max_(x),
+    )
+
+
+@_query("customer", f"""SELECT c_custkey, coalesce(list_sum(xs), 0)::DOUBLE AS total, list_avg(xs) AS mean, array_to_string(xs[2:3], ',') AS middle, xs[1] AS head, xs[-1] AS tail,
+  array_to_string(xs[:2], ',') AS two, array_to_string(xs[3:], ',') AS rest, array_to_string(list_reverse(xs), ',') AS backwards, len(list_distinct(xs))::BIGINT AS kinds,
+  nullif(list_position(xs, 5), 0)::BIGINT - 1 AS at, array_to_string(list_concat(xs, [99, 98]), ',') AS longer, array_to_string(list_sort(xs, 'DESC'), ',') AS sorted
+  FROM (SELECT c_custkey, {_XS} AS xs FROM customer)""")
+def list_parts(t):
+    t = _xs(t)
+    x = c("xs")
+    text_of = lambda v: lists.join(v, ",")
+    return t.select("c_custkey",
+        total=lists.total(x), mean=lists.mean(x), middle=text_of(lists.slice_(x, 1, 3)), head=lists.first(x), tail=lists.last(x), two=text_of(lists.take(x, 2)),
+        rest=text_of(lists.skip(x, 2)), backwards=text_of(lists.reverse(x)), kinds=lists.size(lists.distinct(x)), at=lists.index_of(x, F.lit(5).cast("bigint")),
+        longer=text_of(lists.concat(x, F.array(F.lit(99).cast("bigint"), F.lit(98).cast("bigint")))), sorted=text_of(lists.sort(x, down=True)),
+    )
+
+
+@_query("nation", """SELECT n_nationkey, 'key,name' AS keys, n_nationkey::VARCHAR || '|' || n_name AS vals, true AS has, false AS lacks, n_name || '!' AS put,
+  'key' AS left_over, '7|' || n_name || '|x' AS merged, 2 AS pairs, n_regionkey::VARCHAR || '|' || n_name || '|' || (n_nationkey + 1)::VARCHAR AS flat, n_name || '-' || (n_regionkey + 1)::VARCHAR AS fields FROM nation""")
+def map_functions(t):
+    m_ = F.create_map(F.lit("key"), c("n_nationkey").cast("string"), F.lit("name"), c("n_name"))
+    other = F.create_map(F.lit("key"), F.lit("7"), F.lit("more"), F.lit("x"))
+    merged = lists.merge(m_, other)
+    nested = F.array(F.array(c("n_regionkey").cast("string"), c("n_name")), F.array((c("n_nationkey") + 1).cast("string")))
+    record = lists.with_field(F.struct(c("n_name").alias("name")), "region", (c("n_regionkey") + 1).cast("string"))
+    return t.select("n_nationkey",
+        keys=lists.join(lists.sort(lists.keys(m_)), ","), vals=lists.join(lists.values(m_), "|"), has=lists.has_key(m_, "name"), lacks=lists.has_key(m_, "none"),
+        put=lists.put(m_, "name", F.concat("n_name", F.lit("!")))["name"], left_over=lists.join(lists.keys(lists.remove(m_, "name")), ","),
+        merged=F.concat_ws("|", merged["key"], merged["name"], merged["more"]), pairs=lists.size(lists.entries(m_)).cast("int"),
+        flat=lists.join(lists.flatten(nested), "|"), fields=F.concat_ws("-", record["name"], record["region"]),
+    )
+
+
+@_query("orders", """SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate::DATE::TIMESTAMP AS at, CAST(o_totalprice AS DECIMAL(38,6))::VARCHAR AS price,
+  make_timestamp(year(o_orderdate)::BIGINT, 2, 3, 4, 5, 6) AS made, date_add(o_orderdate::DATE, INTERVAL 3 DAY)::DATE AS later, pi() AS p, NULL::DATE AS none FROM orders""")
+def conversions_of_dates(t):
+    text_date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return t.select("o_orderkey",
+        d=convert.to_date(text_date), at=convert.to_datetime(F.concat(text_date, F.lit("T00:00:00"))), price=convert.try_to_decimal(c("o_totalprice").cast("decimal(38,6)").cast("string")).cast("string"),
+        made=dates.make_datetime(dates.year(c("o_orderdate")), F.lit(2), F.lit(3), F.lit(4), F.lit(5), F.lit(6)), later=(convert.to_date(text_date) + durations.days(F.lit(3))).cast("date"),
+        p=m.pi(), none=convert.try_to_date(F.lit("no date")),
+    )
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+_NATIONS = "SELECT n_nationkey, n_name, nullif(n_regionkey, 3) AS region, n_nationkey / 4.0 AS share FROM nation"
+_NATION_ROW = {"n_nationkey": "int", "n_name": "string", "region": "int?", "share": "float"}
+
+
+def _nations(t):
+    return t.select(n_nationkey=c("n_nationkey").cast("bigint"), n_name=c("n_name"), region=null.null_if(c("n_regionkey").cast("bigint"), F.lit(3).cast("bigint")), share=c("n_nationkey") / 4.0)
+
+
+def _trip(t, name: str, write, read):
+    """A table written below the shared folder and read back."""
+    spark = t.df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    write(_nations(t), path)
+    return read(spark, path)
+
+
+@_query("nation", _NATIONS)
+def roundtrip_parquet(t):
+    return _trip(t, "p", writers.write_parquet, lambda s, p: readers.read_parquet(s, p, _NATION_ROW))
+
+
+@_query("nation", _NATIONS)
+def roundtrip_orc(t):
+    return _trip(t, "o", writers.write_orc, lambda s, p: readers.read_orc(s, p, _NATION_ROW))
+
+
+@_query("nation", _NATIONS)
+def roundtrip_json(t):
+    return _trip(t, "j", writers.write_json, lambda s, p: readers.read_json(s, p, _NATION_ROW))
+
+
+@_query("nation", _NATIONS)
+def roundtrip_csv_parts(t):
+    return _trip(t, "c", writers.write_csv_parts, lambda s, p: readers.read_csv(s, p, _NATION_ROW))
+
+
+def _in_folder(t, name: str, write, read):
+    """The same with a single file, which the driver writes into the shared folder."""
+    folder = shared_folder(t.df.sparkSession).removeprefix("file://")
+    os.makedirs(folder)
+    path = os.path.join(folder, name)
+    write(_nations(t), path)
+    return Table.from_rows(t.df.sparkSession, read(t.df.sparkSession, path).to_rows(), "n_nationkey bigint, n_name string, region bigint, share double")
+
+
+@_query("nation", _NATIONS)
+def roundtrip_csv(t):
+    return _in_folder(t, "n.csv", writers.write_csv, lambda s, p: readers.read_csv(s, p, _NATION_ROW))
+
+
+@_query("nation", _NATIONS)
+def roundtrip_tsv(t):
+    def read(spark, path):
+        row, delimiter = infer.infer_csv(path)
+        return readers.read_csv(spark, path, row, delimiter=delimiter)
+
+    return _in_folder(t, "n.tsv", lambda x, path: writers.write_csv(x, path, delimiter="\t"), read)
+
+
+@_query("nation", _NATIONS)
+def roundtrip_sqlite(t):
+    return _in_folder(t, "n.db", lambda x, p: writers.write_sql(x, p, "nations"), lambda s, p: readers.read_sql(s, p, "SELECT * FROM nations", _NATION_ROW))
+
+
+@_query("nation", _NATIONS)
+def roundtrip_excel(t):
+    return _in_folder(t, "n.xlsx", writers.write_excel, lambda s, p: readers.read_excel(s, p, _NATION_ROW))
+
+
+@_query("region", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region UNION ALL SELECT '| r_regionkey | r_name |' UNION ALL SELECT '| ---: | --- |'")
+def markdown_lines(t):
+    shown = writers.to_markdown(t.select(r_regionkey=c("r_regionkey").cast("bigint"), r_name=c("r_name")))
+    return Table.from_rows(t.df.sparkSession, [{"line": x} for x in shown.splitlines()])
+
+
 # ---------------------------------------------------------------- benchmark analogues
 
 

@@ -116,10 +116,10 @@ def read_sql(spark: SparkSession, address: str, query: str, row: RowType) -> Tab
     """Any SELECT: of a SQLite file, or of a server by its postgres:// or mysql:// address (its JDBC driver must be there)."""
     if address.startswith(("postgres://", "postgresql://", "mysql://")):
         kind, rest = address.split("://", 1)
-        url = f"jdbc:{'mysql' if kind == 'mysql' else 'postgresql'}://{rest.split('@')[-1]}"
+        url = f"jdbc:{'mysql' if kind == 'mysql' else 'postgresql'}://{rest.rpartition('@')[2]}"
         options = {}
         if "@" in rest:
-            user, _, password = rest.split("@")[0].partition(":")
+            user, _, password = rest.rpartition("@")[0].partition(":")
             options = {"user": user, "password": password}
         return _shaped(spark.read.jdbc(url, f"({query}) AS t", properties=options), row, None)
     from millrace.sources.sqlite import SqliteSource
