@@ -7,7 +7,8 @@ joins each revisit record to its response, which has the payload's size.
 
 Archives are written by Spark's text writer, with the end of a record as its line separator: so the commit is
 atomic, a lost executor's file is written again, and the path may be in any store that Spark reaches. Files are
-gzip-compressed as a whole and hold at most ``FILE_RECORDS`` records, since a reader holds a file in memory.
+gzip-compressed as a whole and hold at most ``FILE_RECORDS`` records. A reader holds a file as it is compressed, and of
+its content one record at a time. A response's block is an HTTP response, whose body is the payload.
 
 Scale. Payloads move once, by digest; types are found from a partial aggregation of headers, so a
 payload that a third of all pages share is one row after it, and joins are plain ones that adaptive execution splits.
@@ -26,7 +27,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import importable_by_workers, shared_folder, written
 
+#: Bytes that are unpacked, or sent, at once.
+UNPACKED, SENT = 1 << 20, 8 << 20
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END, VERSION = "\r\n\r\n", "WARC/1.1"
 FILE_RECORDS, DATE = 4000, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,7 +97,7 @@ def records(resolved: DataFrame) -> DataFrame:
     """The text of each record without its end."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     revisit = F.col("record_type") == "revisit"
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    body = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     clean = F.regexp_replace("url", "[\\r\\n]", "")
     return resolved.select(
         F.concat(
@@ -106,7 +110,7 @@ def records(resolved: DataFrame) -> DataFrame:
             line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
             line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("refers_to_url"), F.lit(1), F.col("payload_digest")))),
             line("X-Page-Id", F.col("page_id").cast("string")),
-            line("Content-Type", F.when(~revisit, F.lit("text/html; charset=utf-8"))),
+            line("Content-Type", F.when(~revisit, F.lit("application/http; msgtype=response"))),
             line("Content-Length", F.octet_length(body).cast("string")),
             F.lit("\r\n"), body,
         ).alias("value")
@@ -127,19 +131,47 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def parse(raw: bytes, payloads: bool) -> Iterator[tuple]:
-    """Records of an archive, found by their Content-Length; a response's size and digest are of what is read."""
-    at = 0
-    while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        head = {k: v.decode() for k, v in _HEADER.findall(raw, at + len(VERSION) + 2, stop + 2)}
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """What a gzip file of one or more members holds, in pieces of at most UNPACKED bytes."""
+    while content:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.decompress(content, UNPACKED)
+            content = member.unconsumed_tail
+            if not piece and not content and not member.eof:
+                raise ValueError("an archive ends within a record")
+            yield piece
+        content = member.unused_data
+
+
+def parse(pieces: Iterable[bytes], payloads: bool) -> Iterator[tuple]:
+    """Records of an archive, found by their Content-Length; a response's size and digest are of the body that is read."""
+    rest, held = iter(pieces), bytearray()
+
+    def more() -> bool:
+        piece = next(rest, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while held or more():
+        while (stop := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held:
+                    raise ValueError("an archive ends within a header")
+                return
+        head = {k: v.decode() for k, v in _HEADER.findall(bytes(held[len(VERSION) + 2 : stop + 2]))}
         start = stop + 4
         end = start + int(head[b"Content-Length"])
-        page, kind, body = head.get(b"X-Page-Id"), head[b"WARC-Type"], raw[start:end]
-        digest = digest_of(body) if kind == "response" else head[b"WARC-Payload-Digest"].removeprefix("sha1:")
-        row = (None if page is None else int(page), head.get(b"WARC-Target-URI"), kind, digest, head[b"WARC-Record-ID"], head.get(b"WARC-Refers-To"), len(body) if kind == "response" else None)
+        while len(held) < end + len(END):
+            if not more():
+                raise ValueError("an archive ends within a record")
+        page, kind, block = head.get(b"X-Page-Id"), head[b"WARC-Type"], bytes(held[start:end])
+        del held[: end + len(END)]
+        response = kind == "response"
+        body = block.partition(b"\r\n\r\n")[2] if response else block
+        digest = digest_of(body) if response else head[b"WARC-Payload-Digest"].removeprefix("sha1:")
+        row = (None if page is None else int(page), head.get(b"WARC-Target-URI"), kind, digest, head[b"WARC-Record-ID"], head.get(b"WARC-Refers-To"), len(body) if response else None)
         yield (*row, body) if payloads else row
-        at = end + 4
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -149,18 +181,21 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = (pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+
         for batch in batches:
             for content in batch.column("content"):
-                # A file may be several gzip members.
-                left, raw = content.as_py(), []
-                while left:
-                    member = zlib.decompressobj(31)
-                    raw.append(member.decompress(left))
-                    left = member.unused_data
-                rows = list(parse(b"".join(raw), payloads))
-                for a in range(0, len(rows), 1000):
-                    columns = zip(*rows[a : a + 1000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=False)], names=names)
+                rows, size = [], 0
+                for row in parse(unpacked(content.as_py()), payloads):
+                    rows.append(row)
+                    size += len(row[-1]) if payloads else 0
+                    if len(rows) == 1000 or size > SENT:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     importable_by_workers(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
