@@ -6,10 +6,11 @@ at most ``capacity`` distinct sizes however many documents there are, and a fill
 often as its lengths last. ``assign`` gives every piece the slot of its rank within its length.
 
 Planning. Best-fit decreasing gives the incumbent. Then bins are completed around the largest length left:
-the undominated fillings of the rest (a single length; pairs and triples that fill more than any single
-or pair) are tried from the least waste up, depth first, and a branch is cut when its waste exceeds what
-the incumbent allows. The search ends at a lower bound (total size, or Martello and Toth's L2) or after a
-number of nodes that is a parameter; the best plan found stays.
+undominated fillings of the rest (a single length, pairs that fill more, and the fullest of any number of pieces, alone
+and beside each of the longest) are tried from the least waste up, depth first, and a branch is cut when its waste
+exceeds what the incumbent allows. First the lower bound (total size, or Martello and Toth's L2) is tried, then one
+sequence less than the incumbent, again and again. A search that has not ended after a number of nodes, which is a
+parameter, leaves the best plan found.
 
 Scale. Only the histogram (at most ``capacity`` rows) reaches the driver. Ranks are counted within (length,
 salt), where a length gets a salt for every ``PER_SALT`` pieces, so that no task sorts a hot length. The
@@ -211,13 +212,38 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [pattern for group in open_bins.values() for pattern in group]
 
 
+def fullest(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, ...]:
+    """A filling of `room` of the largest sum that any number of pieces can have; of these, one of long pieces.
+
+    Sums that can be reached are the bits of a number; lengths join from the longest down until `room` itself is reached.
+    """
+    mask, reach, taken = (1 << (room + 1)) - 1, 1, []
+    for x in reversed(lengths[: bisect_right(lengths, room)]):
+        left, many = min(counts[x], room // x), 1
+        while left:
+            many = min(many, left)
+            taken.append((reach, x, many))
+            reach |= (reach << (many * x)) & mask
+            left -= many
+            many *= 2
+        if reach >> room:
+            break
+    total, found = reach.bit_length() - 1, []
+    for before, x, many in reversed(taken):
+        if not before >> total & 1:
+            found += [x] * many
+            total -= many * x
+    return tuple(sorted(found, reverse=True))
+
+
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, by waste: the largest single, then pairs and triples that fill more."""
+    """Undominated fillings of `room`, by waste: the largest single, the pairs that fill more, the fullest of any number,
+    and the fullest beside each of the longest pieces."""
     fit = lengths[: bisect_right(lengths, room)]
     if not fit:
         return [()]
     single = fit[-1]
-    found = [(single,)]
+    found = {(single,)}
     if single < room:
         sizes = np.array(fit)
         seconds = np.searchsorted(sizes, room - sizes, "right") - 1
@@ -227,15 +253,15 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int =
         ok &= ~same | (np.array([counts[x] for x in fit]) > 1)
         sums = np.where(ok, sizes + sizes[seconds], 0)
         order = np.argsort(-sums, kind="stable")[:most]
-        found += [(fit[i], fit[seconds[i]]) for i in order if sums[i] > single]
-        best = max(sum(x) for x in found)
-        if best < room:
-            for x in reversed(fit[-24:]):
-                for y in reversed(fit[: bisect_right(fit, min(x, room - x))][-24:]):
-                    at = bisect_right(fit, min(y, room - x - y)) - 1
-                    if at >= 0 and x + y + fit[at] > best and all(counts[z] >= n for z, n in ((x, 1 + (y == x) + (fit[at] == x)), (y, 1 + (fit[at] == y)))):
-                        found.append((x, y, fit[at]))
-    return sorted(set(found), key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:most]
+        found |= {(fit[i], fit[seconds[i]]) for i in order if sums[i] > single}
+        best = fullest(fit, counts, room)
+        found.add(best)
+        for x in fit[: -most - 1 : -1]:
+            counts[x] -= 1
+            inside = [y for y in fit[: bisect_right(fit, min(x, room - x))] if counts[y]]
+            found.add((x, *fullest(inside, counts, room - x)))
+            counts[x] += 1
+    return sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:most]
 
 
 def complete(counts: dict[int, int], capacity: int, target: int, nodes: int) -> list[Pattern] | None:
@@ -291,11 +317,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     counts = {x: n for x, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     used, bound = sum(n for _, n in incumbent), lower_bound(counts, capacity)
-    targets = [bound] if used - bound <= 1 else [bound, (bound + used) // 2]
-    for target in targets:
-        if used > target and (better := complete(counts, capacity, target, nodes // len(targets))):
+    # The bound at once, then the incumbent one sequence at a time.
+    for target in (bound, None):
+        while used > bound:
+            better = complete(counts, capacity, used - 1 if target is None else target, nodes // 2)
+            if better is None:
+                break
             incumbent, used = better, sum(n for _, n in better)
-            break
     return incumbent
 
 
