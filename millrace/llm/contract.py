@@ -46,7 +46,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.draws(mixing.sized(_documents(spark, sf_dir)))
-    return found.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"))
+    taken = (F.size("copies") * F.col("size")).alias("taken")
+    return found.select("doc_id", "size", "source_size", "target", taken, F.transform("copies", lambda c: c["shard"]).alias("shards"))
 
 
 def tokenizer_path(name: str) -> str:

@@ -13,7 +13,8 @@ the end is less than every document left, and what is over is less than what was
 Shards. The numbers of blocks drawn from each source are split down a binary tree: at each node the left half
 gets a multivariate hypergeometric draw of the node's blocks, so that every output shard has an exact, random
 share of each source. A shard takes its number of blocks from consecutive places of the source's permuted blocks,
-which are disjoint, and orders its documents by a hash (``order_key``).
+which are disjoint, and orders its documents by a hash (``order_key``); ``by_shard`` brings a shard together and
+shuffles it locally.
 
 All draws are hashes of ``SEED`` and names, so reruns agree.
 
@@ -22,7 +23,7 @@ What is ordered in one task has a row for each source, block of a source, or blo
 with an entry for each source. A round of the search for documents that fit (``fitting``) reads narrow rows and passes
 at least one block; as the rest of a passed block is above what is missing, few rounds are needed.
 
-Defined cases. Null texts have no words; documents without words have copies like others and take nothing. A
+Defined cases. Null texts have no words; documents without words have copies like others (``MOST`` at most) and take nothing. A
 source without words has target 0. Rows with equal ids are documents of their own. An empty table gives
 none. Names of other columns cannot clash: ``mix`` adds copy, shard and order_key last and drops the input's
 columns of these names.
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 from millrace.session import written
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20_240_229
-BLOCK_DOCS, MOST_BLOCKS, SHARD_WORDS, LEAST_DEPTH, MOST_DEPTH = 64, 4096, 16_000_000, 2, 12
+BLOCK_DOCS, MOST_BLOCKS, SHARD_WORDS, LEAST_DEPTH = 64, 4096, 4_000_000, 2
+#: Levels of the tree that are split in one task; below, its nodes are dealt out.
+LEVELS = 4
 
 
 def source_key() -> Column:
@@ -119,6 +122,7 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
 
 def split_quotas(quotas: DataFrame, depth: int) -> DataFrame:
     """skey, quota -> skey, shard, first, quota: blocks of each of 2^depth shards and their place in the source's order."""
+    parts = int(quotas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("skey", F.col("quota").cast("bigint").alias("quota")))).alias("parts")).select(F.lit(0).cast("bigint").alias("shard"), "parts")
     for level in range(depth):
         whole = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["quota"])
@@ -137,6 +141,8 @@ def split_quotas(quotas: DataFrame, depth: int) -> DataFrame:
         right = F.transform("parts", lambda p, i: F.struct(p["skey"].alias("skey"), (p["quota"] - F.get("left", i)).alias("quota")))
         halves = F.array(F.struct((2 * F.col("shard")).alias("shard"), left.alias("parts")), F.struct((2 * F.col("shard") + 1).alias("shard"), right.alias("parts")))
         node = node.select(F.explode(halves).alias("half")).select("half.shard", "half.parts")
+        if level % LEVELS == LEVELS - 1 and level < depth - 1:
+            node = written(node.repartition(min(2 << level, parts), "shard"), "nodes")
     rows = node.select("shard", F.explode("parts").alias("part")).select("part.skey", "shard", "part.quota")
     before = F.sum("quota").over(Window.partitionBy("skey").orderBy("shard")) - F.col("quota")
     return rows.withColumn("first", before).select("skey", "shard", "first", "quota")
@@ -201,7 +207,7 @@ def draws(sizes: DataFrame, shards: int | None = None) -> DataFrame:
     plan = written(targets(rows), "targets")
     total = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
     depth = LEAST_DEPTH
-    while (1 << depth < shards) if shards else (depth < MOST_DEPTH and total / (1 << depth) > SHARD_WORDS):
+    while (1 << depth < shards) if shards else total / (1 << depth) > SHARD_WORDS:
         depth += 1
     block = F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("blocks"))
     dealt = rows.join(plan.select("skey", "blocks"), "skey").withColumn("block", block)
@@ -247,7 +253,8 @@ def draws(sizes: DataFrame, shards: int | None = None) -> DataFrame:
     )
     # A document outside the blocks drawn so far has no place in the partial pass; it goes to the shard of the last one drawn.
     final = chosen.join(nearest, ["skey", "block", "row"], "left").join(plan.select("skey", "source_size", "target", "passes"), "skey")
-    n = F.col("passes") + F.when(F.col("partial") | F.coalesce("extra", F.lit(False)), 1).otherwise(0)
+    # A document without words fits into any rest; it has no more copies than others may have.
+    n = F.least(F.col("passes") + F.when(F.col("partial") | F.coalesce("extra", F.lit(False)), 1).otherwise(0), F.lit(int(MOST)))
     copies = F.transform(F.slice("at", F.lit(1), n.cast("int")), lambda c: F.struct(c["copy"].alias("copy"), F.coalesce(c["shard"], F.lit(0).cast("bigint")).alias("shard")))
     return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
@@ -274,3 +281,8 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
         *docs.columns, F.col("__mr_c.copy").alias("copy"), F.col("__mr_c.shard").alias("shard"),
         F.xxhash64(F.lit(SEED), F.col("__mr_c.shard"), F.col("doc_id"), F.col("__mr_c.copy")).alias("order_key"),
     )
+
+
+def by_shard(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix``, those of a shard together and in its local order."""
+    return mixed.repartition("shard").sortWithinPartitions("shard", "order_key", "doc_id", "copy")
