@@ -8,7 +8,8 @@ characters only count as equal if they are. Lines without a word stay.
 2. Segment partition. Of lines within k edits, cut into k + 1 segments, one segment of the shorter line is whole in
    the longer one, at most k places from where it stands there. Every distinct line gives its k + 1 segments to an
    index by (length, segment, content), and probes it with the substrings that can match, for each length up to k
-   less than its own (the multi-match-aware choice of places). Rows carry a summary of letter counts, which k
+   less than its own (the multi-match-aware choice of places); its own segments, which are among these, meet within
+   the index. Rows carry a summary of letter counts, which k
    edits change by at most 2 k, so that most accidental meetings end in the join itself.
 3. Candidates are verified with a banded bit-parallel edit distance (Hyyrö's form of Myers' algorithm): the
    2 k + 1 diagonals that matter are the bits of a word; only the part between common beginning and end is read.
@@ -73,7 +74,10 @@ def segment_keys(edits: int = EDITS) -> Column:
 
 
 def probe_keys(least: int, edits: int = EDITS) -> Column:
-    """Keys of the substrings that can be a segment of an indexed line; null for lines below `least`."""
+    """Keys of the substrings that can be a segment of an indexed line; null for lines below `least`.
+
+    Without those that are the line's own segments: lines that share one of these meet within the index.
+    """
     found = []
     for short in range(edits + 1):
         length = F.col("n") - short
@@ -84,6 +88,8 @@ def probe_keys(least: int, edits: int = EDITS) -> Column:
             at, wide = _segment(size, extra, i, edits)
             low, high = max(-i, short - (edits - i)), min(i, short + (edits - i))
             for off in range(low, high + 1):
+                if not short and not off:
+                    continue
                 key = _key(length, i, F.substring("line", at + off, wide))
                 found.append(F.when(length >= least, key) if short else key)
     return F.array(*found)
@@ -213,7 +219,9 @@ def near_pairs(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
     long = _measured(long, edits)
     index = long.select(F.explode(segment_keys(edits)).alias("key"), F.col("h").alias("a"), F.col("counts").alias("ca"))
     probe = long.select(F.explode(probe_keys(least, edits)).alias("key"), F.col("h").alias("b"), F.col("counts").alias("cb")).filter("key IS NOT NULL")
-    met = index.join(probe, "key").filter((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
+    alike = counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits
+    own = index.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
+    met = index.join(probe, "key").filter((F.col("a") != F.col("b")) & alike).unionByName(index.join(own, "key").filter((F.col("a") < F.col("b")) & alike))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = long.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
     second = long.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"))
