@@ -323,6 +323,23 @@ def test_mixing_meets_each_target_beside_very_long_documents(spark):
         assert all(r["size"] > missing for r in mine if len(r["copies"]) < most)
 
 
+def test_documents_without_words_have_two_copies_at_most(spark):
+    """A source held at twice its words: nothing is a third time in the mix, and all copies have a shard."""
+    rows = [(i, "a", "w " * 40 if i % 2 else "") for i in range(60)] + [(100 + i, "b", "w " * 4000) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.draws(mixing.sized(docs)).collect()
+    assert max(len(r["copies"]) for r in found) == 2
+    assert sum(len(r["copies"]) * r["size"] for r in found if r["source"] == "a") == 2 * 30 * 40
+    mixed = mixing.by_shard(mixing.mix(docs, 8)).withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()).orderBy("k").collect()
+    assert len(mixed) == sum(len(r["copies"]) for r in found)
+    places = collections.defaultdict(list)
+    for r in mixed:
+        places[r["shard"]].append((r["p"], r["order_key"]))
+    assert len(places) > 1
+    for held in places.values():
+        assert len({p for p, _ in held}) == 1 and [k for _, k in held] == sorted(k for _, k in held)
+
+
 def test_fitting_follows_the_order(spark):
     rng, order, want = random.Random(8), {}, {}
     for s in range(20):
@@ -382,6 +399,39 @@ def test_packing_plan():
     assert sum(n for _, n in packing.plan({6: 1, 4: 1, 3: 2, 2: 2}, 10)) == 2
 
 
+def test_completion_is_below_best_fit():
+    """Sixty pieces that fill twenty sequences without waste: best-fit decreasing needs one more, completion does not."""
+    better = 0
+    for seed in (1, 2, 4, 7, 10, 18, 23, 25):
+        rng, pieces = random.Random(seed), []
+        for _ in range(20):
+            a = rng.randint(300, 480)
+            b = rng.randint(150, min(400, 900 - a))
+            pieces += [a, b, 1000 - a - b]
+        counts = dict(collections.Counter(pieces))
+        plan = packing.plan(counts, 1000)
+        used = collections.Counter()
+        for items, n in plan:
+            used.update({x: n * k for x, k in collections.Counter(items).items()})
+            assert sum(items) <= 1000
+        assert used == counts
+        better += sum(n for _, n in plan) == 20 < sum(n for _, n in packing.best_fit(counts, 1000))
+    assert better >= 6
+
+
+def test_fullest_filling():
+    rng = random.Random(8)
+    for _ in range(50):
+        counts = collections.Counter(rng.choices(range(3, 30), k=8))
+        room = rng.randint(5, 90)
+        filling = packing.fullest(sorted(counts), dict(counts), room)
+        assert not collections.Counter(filling) - counts
+        sums = {0}
+        for x in counts.elements():
+            sums |= {y + x for y in sums}
+        assert sum(filling) == max(y for y in sums if y <= room)
+
+
 def test_packed_ids(docs, texts):
     from tokenizers import Tokenizer
 
@@ -546,6 +596,23 @@ def test_archives(spark):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
+def test_archives_of_several_members_and_long_records():
+    import gzip
+
+    body = bytes(range(256)) * 20_000
+    head = lambda n, kind: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nX-Page-Id: {n}\r\nWARC-Payload-Digest: sha1:X\r\n"
+    http = contract.warc.HTTP.encode()
+    one = head(1, "response").encode() + f"Content-Length: {len(http) + len(body)}\r\n\r\n".encode() + http + body + b"\r\n\r\n"
+    two = head(2, "revisit").encode() + b"Content-Length: 0\r\n\r\n\r\n\r\n"
+    content = gzip.compress(one + two[:40]) + gzip.compress(two[40:] + one)
+    rows = list(contract.warc.parse(contract.warc.unpacked(content), True))
+    assert [(r[0], r[2], r[6]) for r in rows] == [(1, "response", len(body)), (2, "revisit", None), (1, "response", len(body))]
+    assert rows[0][-1] == body and rows[0][3] == contract.warc.digest_of(body) and rows[1][3] == "X"
+    for broken in (gzip.compress(one[:-9]), gzip.compress(one)[:-30], gzip.compress(one + two[:20])):
+        with pytest.raises(ValueError):
+            list(contract.warc.parse(contract.warc.unpacked(broken), False))
+
+
 def test_archives_do_not_depend_on_splits(spark, tmp_path):
     """The input is split otherwise when the records are written than when the responses are chosen."""
     rows = [(i if i % 9 else None, f"u{i % 4}" if i % 5 else None, f"payload {i % 12}") for i in range(120)]
