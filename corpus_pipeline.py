@@ -3,7 +3,7 @@
 1. quality rules: rejected documents go;
 2. line dedup: lines that occur earlier, equal or nearly so, go from the texts;
 3. SimHash near-dedup: one document of each group stays;
-4. mixing: documents are repeated or left out until sources have their target weights;
+4. mixing: documents are repeated or left out until sources have their target weights, and written by output shard;
 5. packing: pieces of the mixed documents with their sequence and place.
 """
 
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.by_shard(mixing.mix(docs)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
