@@ -5,10 +5,11 @@ Two steps, both DataFrame functions only.
 1. ``base_statistics``: counts of words, symbols, repeated lines and repeated word triples of each whole
    text, and two fixed rules on them (``base_failed``).
 2. ``robust_outliers``: documents that pass the fixed rules become vectors of transformed statistics. Per
-   (language, source) group the MCD estimate of location and scatter is found by concentration steps: start
-   from the coordinate-wise median, keep the ``support`` share of documents with the smallest distance,
-   take their mean and covariance, and repeat. Documents whose squared Mahalanobis distance from the final
-   estimate exceeds ``cutoff`` are rejected.
+   (language, source) group the MCD estimate of location and scatter is found by concentration steps from several
+   starts (the coordinate-wise median, and the lower and upper quartiles): keep the ``support`` share of documents
+   with the smallest distance, take their mean and covariance, and repeat. Of the estimates that the starts lead to,
+   that with the smallest determinant is the group's. Documents whose squared Mahalanobis distance from it exceeds
+   ``cutoff`` are rejected.
 
 Scale. A concentration step is one partial aggregation of a narrow table, by (group, distance bin): the
 kept share is cut at the edge of a distance bin, so no group is ever sorted or gathered in a task. The
@@ -33,9 +34,11 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 
-#: Smallest standard deviation of each statistic, in thousandths.
-SCALE_FLOOR = (350, 350, 120, 700)
-#: Share of a group that the MCD estimate rests on, number of concentration steps, rejecting distance.
+#: Smallest standard deviation of each statistic, in thousandths: each alone can pass the cutoff (repetition, which the
+#: fixed rule ends at 3932, from about 40 % of the words in a group without any).
+SCALE_FLOOR = (350, 350, 120, 550)
+#: Share of a group that the MCD estimate rests on, number of concentration steps, rejecting distance. The chi-square
+#: quantile of 0.999 with four degrees is 18.5; the statistics' tails are heavier than a normal sample's, hence the margin.
 SUPPORT, STEPS, CUTOFF, MIN_GROUP = 0.75, 3, 45.0, 30
 #: Documents that the pool of all small groups needs for an estimate.
 MIN_POOL = 9
@@ -168,9 +171,14 @@ def distance_levels() -> list[list[str]]:
     return levels
 
 
+#: Where the concentration steps begin, and the quartile that it is.
+STARTS = {0: "a", 1: "lo", 2: "hi"}
+
+
 def start_sql() -> str:
-    """Squared distance from the coordinate-wise median, in units of the interquartile range."""
-    parts = [f"(q{i} - a{i}) * (q{i} - a{i}) / ((b{i} / 1.349E0) * (b{i} / 1.349E0) + {SCALE_FLOOR[i] ** 2}.0E0)" for i in range(P)]
+    """Squared distance from the start's point, in units of the interquartile range."""
+    at = lambda i: f"CASE start {' '.join(f'WHEN {k} THEN {x}{i}' for k, x in STARTS.items())} END"
+    parts = [f"(q{i} - {at(i)}) * (q{i} - {at(i)}) / ((b{i} / 1.349E0) * (b{i} / 1.349E0) + {SCALE_FLOOR[i] ** 2}.0E0)" for i in range(P)]
     return " + ".join(parts) + " AS d2"
 
 
@@ -184,20 +192,19 @@ def _levels(df: DataFrame, levels: list[list[str]]) -> DataFrame:
     return df
 
 
+DETERMINANT_SQL = " * ".join(f"l{i}{i}" for i in range(P))
+
+
 def _fit_of(binned: DataFrame, support: float) -> DataFrame:
-    """Location and scatter of the `support` share with the smallest distances, by group."""
+    """Location and scatter of the `support` share with the smallest distances, by group and start."""
     from pyspark.sql import Window
 
-    by_bin = binned.groupBy("gl", "gs", "bin").agg(*map(F.expr, moments_sql()))
-    w = Window.partitionBy("gl", "gs")
+    by_bin = binned.groupBy("gl", "gs", "start", "bin").agg(*map(F.expr, moments_sql()))
+    w = Window.partitionBy("gl", "gs", "start")
     up = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = by_bin.select("*", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("before"), F.sum("n").over(w).alias("total"))
-    inner = inner.filter(f"before < {support}E0 * total").groupBy("gl", "gs").agg(*map(F.expr, resummed_sql()))
-    return _levels(inner, cholesky_sql()).select("gl", "gs", *FIT)
-
-
-def _join(vectors: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
-    return vectors.join(fit, ["gl", "gs"], how)
+    inner = inner.filter(f"before < {support}E0 * total").groupBy("gl", "gs", "start").agg(*map(F.expr, resummed_sql()))
+    return _levels(inner, cholesky_sql()).select("gl", "gs", "start", *FIT)
 
 
 def robust_outliers(stats: DataFrame, support: float = SUPPORT, steps: int = STEPS, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
@@ -221,21 +228,26 @@ def robust_outliers(stats: DataFrame, support: float = SUPPORT, steps: int = STE
             F.when(F.col("n_group") >= min_group, F.col("ks")).otherwise(F.lit("*")).alias("gs"),
         )
     )
+    groups = written(groups, "groups")  # a row for each source and language: broadcast if its size allows
     vectors = (
         fitted.select("*", keyed("lang").alias("kl"), keyed("source").alias("ks"))
         .join(groups, ["kl", "ks"])
         .selectExpr("doc_id", "kl", "ks", "gl", "gs", *named)
     )
     usable = vectors.filter(F.col("gl").isNotNull())
+    quarter = lambda i, share: F.percentile(f"q{i}", F.lit(share))
     quartiles = usable.groupBy("gl", "gs").agg(
-        *(F.percentile(f"q{i}", F.lit(0.5)).alias(f"a{i}") for i in range(P)),
-        *((F.percentile(f"q{i}", F.lit(0.75)) - F.percentile(f"q{i}", F.lit(0.25))).alias(f"b{i}") for i in range(P)),
+        *(quarter(i, share).alias(f"{name}{i}") for i in range(P) for name, share in (("a", 0.5), ("lo", 0.25), ("hi", 0.75))),
+        *((quarter(i, 0.75) - quarter(i, 0.25)).alias(f"b{i}") for i in range(P)),
     )
-    distances = _join(usable, quartiles).selectExpr("*", start_sql())
-    fit = None
+    quartiles = written(quartiles, "quartiles")
+    begun = F.explode(F.array(*map(F.lit, STARTS))).alias("start")
+    distances = usable.join(quartiles, ["gl", "gs"]).select("*", begun).selectExpr("*", start_sql())
     for _ in range(steps):
-        fit = written(_fit_of(distances.selectExpr("*", BIN_SQL), support), "fit")
-        distances = _levels(_join(usable, fit), distance_levels())
+        fits = written(_fit_of(distances.selectExpr("*", BIN_SQL), support), "fit")
+        distances = _levels(usable.join(fits, ["gl", "gs"]), distance_levels())
+    least = F.min_by(F.struct(*FIT), F.struct(F.expr(DETERMINANT_SQL).alias("det"), "start")).alias("fit")
+    fit = written(fits.groupBy("gl", "gs").agg(least).select("gl", "gs", "fit.*"), "least")
     # Groups and estimates are small tables by group; a row meets its verdict without another shuffle of documents.
     judged = stats.select("*", keyed("lang").alias("kl"), keyed("source").alias("ks")).join(groups, ["kl", "ks"], "left").join(fit, ["gl", "gs"], "left")
     judged = judged.selectExpr("*", *(f"CASE WHEN n_words > 0 THEN {x} END AS q{i}" for i, x in enumerate(vector_sql())))
@@ -283,24 +295,25 @@ def oracle_sql(table: str = "documents") -> str:
         f"""grp AS (SELECT kl, ks, CASE WHEN n_group >= {MIN_GROUP} OR n_lang >= {MIN_GROUP} THEN kl WHEN n_rest >= {MIN_POOL} THEN '*' END AS gl,
           CASE WHEN n_group >= {MIN_GROUP} THEN ks ELSE '*' END AS gs FROM sizes LEFT JOIN pools USING (kl), rest)""",
         f"usable AS (SELECT gl, gs, {', '.join(f'cast({x} AS bigint) AS q{i}' for i, x in enumerate(vector_sql()))} FROM base JOIN grp USING (kl, ks) WHERE NOT base_failed AND gl IS NOT NULL)",
-        f"quart AS (SELECT gl, gs, {', '.join(f'quantile_cont(q{i}, 0.5) AS a{i}, quantile_cont(q{i}, 0.75) - quantile_cont(q{i}, 0.25) AS b{i}' for i in range(P))} FROM usable GROUP BY ALL)",
-        f"dist0 AS (SELECT gl, gs, {', '.join(f'q{i}' for i in range(P))}, {start_sql()} FROM usable JOIN quart USING (gl, gs))",
+        f"quart AS (SELECT gl, gs, {', '.join(f'quantile_cont(q{i}, 0.5) AS a{i}, quantile_cont(q{i}, 0.25) AS lo{i}, quantile_cont(q{i}, 0.75) AS hi{i}, quantile_cont(q{i}, 0.75) - quantile_cont(q{i}, 0.25) AS b{i}' for i in range(P))} FROM usable GROUP BY ALL)",
+        f"dist0 AS (SELECT gl, gs, start, {', '.join(f'q{i}' for i in range(P))}, {start_sql()} FROM usable JOIN quart USING (gl, gs), (VALUES {', '.join(f'({k})' for k in STARTS)}) v(start))",
     ]
     for k in range(STEPS):
         ctes += [
             f"bin{k} AS (SELECT *, {BIN_SQL} FROM dist{k})",
-            f"mom{k} AS (SELECT gl, gs, bin, {', '.join(moments_sql())} FROM bin{k} GROUP BY ALL)",
-            f"cum{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY gl, gs ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY gl, gs) AS total FROM mom{k})",
-            f"in{k}_0 AS (SELECT gl, gs, {', '.join(resummed_sql())} FROM cum{k} WHERE before < {SUPPORT}E0 * total GROUP BY ALL)",
+            f"mom{k} AS (SELECT gl, gs, start, bin, {', '.join(moments_sql())} FROM bin{k} GROUP BY ALL)",
+            f"cum{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY gl, gs, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY gl, gs, start) AS total FROM mom{k})",
+            f"in{k}_0 AS (SELECT gl, gs, start, {', '.join(resummed_sql())} FROM cum{k} WHERE before < {SUPPORT}E0 * total GROUP BY ALL)",
         ]
         levels = cholesky_sql()
         ctes += [f"in{k}_{i + 1} AS (SELECT *, {', '.join(level)} FROM in{k}_{i})" for i, level in enumerate(levels)]
-        ctes.append(f"fit{k} AS (SELECT gl, gs, {', '.join(FIT)} FROM in{k}_{len(levels)})")
+        ctes.append(f"fit{k} AS (SELECT gl, gs, start, {', '.join(FIT)} FROM in{k}_{len(levels)})")
         if k < STEPS - 1:
             ctes.append(f"d{k}_0 AS (SELECT * FROM usable JOIN fit{k} USING (gl, gs))")
             ctes += [f"d{k}_{i + 1} AS (SELECT *, {', '.join(level)} FROM d{k}_{i})" for i, level in enumerate(distance_levels())]
-            ctes.append(f"dist{k + 1} AS (SELECT gl, gs, {', '.join(f'q{i}' for i in range(P))}, d2 FROM d{k}_{P + 1})")
-    ctes.append(f"j_0 AS (SELECT * FROM (SELECT *, {', '.join(f'CASE WHEN n_words > 0 THEN {x} END AS q{i}' for i, x in enumerate(vector_sql()))} FROM base LEFT JOIN grp USING (kl, ks)) LEFT JOIN fit{STEPS - 1} USING (gl, gs))")
+            ctes.append(f"dist{k + 1} AS (SELECT gl, gs, start, {', '.join(f'q{i}' for i in range(P))}, d2 FROM d{k}_{P + 1})")
+    ctes.append(f"least AS (SELECT * EXCLUDE (start, r) FROM (SELECT *, row_number() OVER (PARTITION BY gl, gs ORDER BY {DETERMINANT_SQL}, start) AS r FROM fit{STEPS - 1}) WHERE r = 1)")
+    ctes.append(f"j_0 AS (SELECT * FROM (SELECT *, {', '.join(f'CASE WHEN n_words > 0 THEN {x} END AS q{i}' for i, x in enumerate(vector_sql()))} FROM base LEFT JOIN grp USING (kl, ks)) LEFT JOIN least USING (gl, gs))")
     ctes += [f"j_{i + 1} AS (SELECT *, {', '.join(level)} FROM j_{i})" for i, level in enumerate(distance_levels())]
     return f"""WITH {', '.join(ctes)}
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
