@@ -47,6 +47,29 @@ def test_quality_rejects_what_is_unlike_its_group(spark):
     assert all(k for i, k in found.items() if i < 1000) and not any(k for i, k in found.items() if i >= 1000)
 
 
+def test_quality_rejects_repetition_alone(spark):
+    """45 % of the words in repeated windows, in a group without any: rejected; the clean ones stay."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(4000)]
+    rows = [(i, " ".join(rng.sample(words, 200)), "en", "s") for i in range(90)]
+    part = rng.sample(words, 45)
+    rows.append((500, " ".join([*part, *rng.sample(words, 55), *part, *rng.sample(words, 55)]), "en", "s"))
+    found = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not found[500]["base_failed"] and found[500]["n_repeat_words"] == 90 and not found[500]["kept"]
+    assert sum(r["kept"] for r in found.values()) >= 89
+
+
+def test_quality_takes_the_smallest_determinant(spark):
+    """Two crowds: the tighter one, three quarters of the documents, is the estimate whichever start finds it."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    crowd = lambda i, share: (i, " ".join(w + ("#" if rng.random() < share else "") for w in rng.sample(words, 150)), "en", "s")
+    rows = [crowd(i, 0.0) for i in range(120)] + [crowd(1000 + i, rng.uniform(0.1, 0.9)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.quality_rules(docs).filter("kept").collect()}
+    assert set(range(120)) <= kept and len(kept) < 125
+
+
 def test_quality_slow_path(spark):
     """The count of repeated windows by whole strings equals that by hashes."""
     text = " ".join(random.Random(1).choices("a b c d".split(), k=300))
