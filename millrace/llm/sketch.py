@@ -2,8 +2,9 @@
 
 Whether a shingle is kept depends on it alone, so sketches of any two texts, however unequal in length, hold the
 same part of what they share: the share of one sketch that the other has estimates containment, and the union of
-two sketches is the sketch of both texts together (``merged``). The smallest hash is kept as well, so that a short
-text is not left without any. DataFrame functions only.
+two sketches is the sketch of both texts together (``merged``). A text without a hash below the threshold keeps its
+smallest one, so that equal short texts are alike; a longer text does not keep that hash, so the containment of such a
+text in a longer one is 0, whatever it is. DataFrame functions only.
 
 A shingle is ``SHINGLE`` words (the whole sequence if there are fewer); its hash chains XXH64 over the words.
 
