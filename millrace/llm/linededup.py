@@ -10,7 +10,8 @@ characters only count as equal if they are. Lines without a word stay.
    index by (length, segment, content), and probes it with the substrings that can match, for each length up to k
    less than its own (the multi-match-aware choice of places); its own segments, which are among these, meet within
    the index. Rows carry a summary of letter counts, which k
-   edits change by at most 2 k, so that most accidental meetings end in the join itself.
+   edits change by at most 2 k, so that most accidental meetings end in the join itself. Of a long line the letters of
+   both ends are counted, for which that bound holds as well; what meets is then verified on the whole lines.
 3. Candidates are verified with a banded bit-parallel edit distance (Hyyrö's form of Myers' algorithm): the
    2 k + 1 diagonals that matter are the bits of a word; only the part between common beginning and end is read.
 
@@ -33,6 +34,8 @@ EDITS, LEAST_CHARS = 2, 20
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 #: Characters whose counts, modulo 16, make a line's summary.
 COUNTED = " eatnorishldugcm"
+#: Characters of either end that are counted in lines of more than twice as many.
+END_CHARS = 48
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -44,15 +47,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """h, line, counts, place: the line's hash, text and letter counts, and its first place (a second hash, doc_id, th, line_no)."""
     place = F.struct(F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "th", "line_no")
-    counted = lines.withColumn("counts", letter_counts(F.col("line")))
+    counted = lines.withColumn("_ends", both_ends(F.col("line"))).withColumn("counts", letter_counts(F.col("_ends")))
     return counted.groupBy(F.xxhash64("line").alias("h")).agg(F.min(place).alias("place"), F.first("line").alias("line"), F.first("counts").alias("counts"))
 
 
 def _measured(lines: DataFrame, edits: int) -> DataFrame:
-    """With n, size, extra: the length, and that of its segments, of which the last `extra` are one longer."""
+    """With n, and size and extra of each length from n to `edits` less: the length of its segments, of which the last
+    `extra` are one longer. Columns of their own keep the code that Spark makes of the keys below the size from which
+    the JVM only interprets it."""
     lines = lines.withColumn("n", F.char_length("line"))
-    lines = lines.withColumn("size", F.floor(F.col("n") / (edits + 1)).cast("int"))
-    return lines.withColumn("extra", F.col("n") - F.col("size") * (edits + 1))
+    lines = lines.withColumns({f"size{short}": F.floor((F.col("n") - short) / (edits + 1)).cast("int") for short in range(edits + 1)})
+    return lines.withColumns({f"extra{short}": F.col("n") - short - F.col(f"size{short}") * (edits + 1) for short in range(edits + 1)})
 
 
 def _segment(size: Column, extra: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -68,7 +73,7 @@ def segment_keys(edits: int = EDITS) -> Column:
     """Of a line as ``_measured`` gives it."""
     keys = []
     for i in range(edits + 1):
-        at, size = _segment(F.col("size"), F.col("extra"), i, edits)
+        at, size = _segment(F.col("size0"), F.col("extra0"), i, edits)
         keys.append(_key(F.col("n"), i, F.substring("line", at, size)))
     return F.array(*keys)
 
@@ -81,9 +86,7 @@ def probe_keys(least: int, edits: int = EDITS) -> Column:
     found = []
     for short in range(edits + 1):
         length = F.col("n") - short
-        # One less in length is one less in `extra`, or in `size` with all segments but one longer.
-        size = F.col("size") - F.when(F.col("extra") < short, 1).otherwise(0)
-        extra = F.col("extra") - short + F.when(F.col("extra") < short, edits + 1).otherwise(0)
+        size, extra = F.col(f"size{short}"), F.col(f"extra{short}")
         for i in range(edits + 1):
             at, wide = _segment(size, extra, i, edits)
             low, high = max(-i, short - (edits - i)), min(i, short + (edits - i))
@@ -95,6 +98,16 @@ def probe_keys(least: int, edits: int = EDITS) -> Column:
     return F.array(*found)
 
 
+def both_ends(line: Column) -> Column:
+    """A line of up to twice END_CHARS characters, or the first and last END_CHARS of it.
+
+    An edit changes the letter counts of this by two at most, as it does those of the whole line: in a longer line it lies
+    in one end only, which takes a character in for each that it loses; at twice END_CHARS both forms are the same.
+    """
+    parted = F.concat(F.left(line, F.lit(END_CHARS)), F.right(line, F.lit(END_CHARS)))
+    return F.when(F.char_length(line) > 2 * END_CHARS, parted).otherwise(line)
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of COUNTED modulo 16, each in four bits of a long."""
     total = F.lit(0).cast("bigint")

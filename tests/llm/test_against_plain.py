@@ -165,6 +165,36 @@ def test_bit_parallel_distance(spark):
         assert r["w"] == r["v"] == (_distance(r["a"], r["b"]) <= 2), r
 
 
+def test_edits_change_letter_counts_by_two_at_most(spark):
+    rng, pairs, wide = random.Random(3), [], linededup.END_CHARS
+    for _ in range(600):
+        a = "".join(rng.choices(linededup.COUNTED + "zé", k=rng.choice([20, 2 * wide - 2, 2 * wide - 1, 2 * wide, 2 * wide + 1, 2 * wide + 2, 150])))
+        b = list(a)
+        for _ in range(2):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[at : at + (kind != 0)] = rng.choice(linededup.COUNTED) if kind < 2 else ""
+        pairs.append((a, "".join(b)))
+    of = lambda c: linededup.letter_counts(linededup.both_ends(F.col(c)))
+    found = spark.createDataFrame(pairs, "a string, b string").select(linededup.counts_apart(of("a"), of("b")).alias("d")).collect()
+    assert 0 < max(r["d"] for r in found) <= 4
+
+
+def test_near_lines_longer_than_their_counted_ends(spark):
+    rng, wide = random.Random(4), linededup.END_CHARS
+    rows, links = [], 0
+    for n in (2 * wide - 1, 2 * wide, 2 * wide + 1, 400):
+        for _ in range(15):
+            a = "".join(rng.choices("abcdefgh ", k=n))
+            b = list(a)
+            for _ in range(2):
+                at, kind = rng.randrange(len(b)), rng.randrange(3)
+                b[at : at + (kind != 0)] = "#" if kind < 2 else ""
+            rows += [(len(rows), a), (len(rows) + 1, "".join(b))]
+            links += 1
+    report = linededup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sum(r["n_near"] for r in report) == links and sorted(r["doc_id"] for r in report if r["n_near"]) == list(range(1, len(rows), 2))
+
+
 def test_edits_far_inside_very_long_lines(spark):
     n, pairs = 2_000_000, []
     line = "".join(random.Random(6).choices("abcdefgh ", k=n))
