@@ -10,8 +10,8 @@ characters only count as equal if they are. Lines without a word stay.
    index by (length, segment, content), and probes it with the substrings that can match, for each length up to k
    less than its own (the multi-match-aware choice of places); its own segments, which are among these, meet within
    the index. Rows carry a summary of letter counts, which k
-   edits change by at most 2 k, so that most accidental meetings end in the join itself. Of a long line the letters of
-   both ends are counted, for which that bound holds as well; what meets is then verified on the whole lines.
+   edits change by at most 2 k, so that most accidental meetings end in the join itself. Whole lines are counted: where variants of
+   one line differ in its middle, its ends alone tell nothing.
 3. Candidates are verified with a banded bit-parallel edit distance (Hyyrö's form of Myers' algorithm): the
    2 k + 1 diagonals that matter are the bits of a word; only the part between common beginning and end is read.
 
@@ -34,8 +34,6 @@ EDITS, LEAST_CHARS = 2, 20
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 #: Characters whose counts, modulo 16, make a line's summary.
 COUNTED = " eatnorishldugcm"
-#: Characters of either end that are counted in lines of more than twice as many.
-END_CHARS = 48
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -47,7 +45,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """h, line, counts, place: the line's hash, text and letter counts, and its first place (a second hash, doc_id, th, line_no)."""
     place = F.struct(F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "th", "line_no")
-    counted = lines.withColumn("_ends", both_ends(F.col("line"))).withColumn("counts", letter_counts(F.col("_ends")))
+    counted = lines.withColumn("counts", letter_counts(F.col("line")))
     return counted.groupBy(F.xxhash64("line").alias("h")).agg(F.min(place).alias("place"), F.first("line").alias("line"), F.first("counts").alias("counts"))
 
 
@@ -98,16 +96,6 @@ def probe_keys(least: int, edits: int = EDITS) -> Column:
     return F.array(*found)
 
 
-def both_ends(line: Column) -> Column:
-    """A line of up to twice END_CHARS characters, or the first and last END_CHARS of it.
-
-    An edit changes the letter counts of this by two at most, as it does those of the whole line: in a longer line it lies
-    in one end only, which takes a character in for each that it loses; at twice END_CHARS both forms are the same.
-    """
-    parted = F.concat(F.left(line, F.lit(END_CHARS)), F.right(line, F.lit(END_CHARS)))
-    return F.when(F.char_length(line) > 2 * END_CHARS, parted).otherwise(line)
-
-
 def letter_counts(line: Column) -> Column:
     """Counts of COUNTED modulo 16, each in four bits of a long."""
     total = F.lit(0).cast("bigint")
