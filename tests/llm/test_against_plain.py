@@ -95,6 +95,48 @@ def test_sketch_edits_and_estimates(docs, texts):
     assert sum(errors) / len(errors) < 0.1
 
 
+def test_sketches_against_plain_hashes(spark, docs):
+    """Fingerprints and likeness of every row; short texts that lie in the next one, and a long one of a single shingle, too."""
+    rng = random.Random(5)
+    longer = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=900)) for _ in range(40)]
+    made = [(2 * i + 1, " ".join(t.split()[i : i + 1 + i % 12])) for i, t in enumerate(longer)] + [(2 * i, t) for i, t in enumerate(longer)]
+    made += [(101, "so " * 3000), (100, "and " * 500 + "so " * 9), (99, None), (98, "")]
+    own = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000_000 + i, t) for i, t in made], "doc_id long, text string"))
+
+    def hashes(text):
+        words, out = WORD.findall(text), []
+        for i in range(len(words) - 4):
+            h = 42
+            for w in words[i : i + 5]:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+            out.append(h)
+        return set(out) or ({xxhash.xxh64_intdigest(" ".join(words).encode(), seed=42)} if words else set())
+
+    def held(all_of):
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return sorted((h for h in all_of if h >> 61 == 0), key=signed) or sorted(all_of)[:1]
+
+    def likeness(a, b):
+        low, other = {h for h in a if h >> 61 == 0}, {h for h in b if h >> 61 == 0}
+        if not a:
+            return float(not b)
+        return len(low & other) / len(low) if low else len(a & b) / len(a)
+
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in own.collect()), reverse=True)
+    found = {r["doc_id"]: r for r in sketch.edited_and_next(own).collect()}
+    assert len(found) == len(rows)
+    stand_ins = 0
+    for i, (k, text) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        a, b, c = hashes(text), hashes(edited), hashes(following)
+        r = found[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{h:016x}" for h in held(x)) for x in (a, b))
+        assert (r["near_edited"], r["near_next"]) == (likeness(a, b), likeness(a, c))
+        stand_ins += bool(a) and not any(h >> 61 == 0 for h in a) and r["near_next"] == 1.0
+    assert stand_ins > 10
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(300))
     df = spark.createDataFrame([(a, b)], "a string, b string")
