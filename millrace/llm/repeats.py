@@ -17,10 +17,11 @@ Passages. Strings are counted in bytes and removed; passages of ``PASSAGE`` word
 too, at whatever length in bytes, are only counted (``n_passage_words``). They take the same way, with hashes of words
 (runs without ASCII white space) in the place of bytes and hashes of windows in the place of the index.
 
-Scale. Text moves twice, to cut the territories of step 3 and to remove spans; all else are rows of hashes. A task of
-step 3 indexes ``INDEX_BYTES`` at a time. An anchor hash of more than ``MANY`` territories is settled by hashes of its
-windows in the task instead of by the index, and one of more than ``VERY_MANY`` (a fiftieth of it for words) is first
-split by the distance of windows from the anchor over several tasks. All of these are exact.
+Scale. Text moves once, to cut the territories of step 3 and to remove spans; all else are rows of hashes, and the
+written tables of them are deleted once the next one is there. A task of step 3 indexes ``INDEX_BYTES`` at a time. An
+anchor hash of more than ``MANY`` territories is settled by hashes of its windows in the task instead of by the index,
+and one of more than ``VERY_MANY`` (a fiftieth of it for words) is first split by the distance of windows from the anchor
+over several tasks. All of these are exact.
 
 Defined cases. Null texts are empty bytes. Rows of equal id and text are documents of their own and repeat each other;
 for passages they are one document.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import importable_by_workers, written
+from millrace.session import drop_written, importable_by_workers, shared_folder, written
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage, words hashed together, and bytes from which a word's hash is xxh3's.
@@ -405,17 +406,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     importable_by_workers(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = written(anchors(base.select("rid", "text"), length, passage), "anchors")
+    folder = shared_folder(spark)
+    found = written(anchors(base.select("rid", "text"), length, passage), "anchors", folder)
     of_words = F.col("k").bitwiseAND(F.lit(1).cast("bigint")) == 1
     apart = F.min("rid") != F.max("rid")
     # Most anchors occur once: they are left out by their number alone, before anything else is compared. Written, so that
     # the join has an exchange of its own on either side, and a hot anchor is split.
-    several = written(found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "several")
-    repeated = written(found.join(several, "k"), "repeated")
+    several = written(found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "several", folder)
+    repeated = written(found.join(several, "k"), "repeated", folder)
+    drop_written(spark, folder, "anchors", "several")
     by_anchor = repeated.groupBy("k").agg((F.min("t") != F.max("t")).alias("mixed"), apart.alias("apart"))
-    by_anchor = written(by_anchor.filter(~of_words | F.col("apart")).select("k", "mixed"), "by_anchor")
+    by_anchor = written(by_anchor.filter(~of_words | F.col("apart")).select("k", "mixed"), "by_anchor", folder)
     shared = repeated.join(by_anchor, "k").select("k", "t", "rid", *placed(), "mixed")
-    shared = written(shared, "shared")
+    shared = written(shared, "shared", folder)
+    drop_written(spark, folder, "repeated", "by_anchor")
     kinds = shared.filter("mixed").groupBy("k", "t").agg(
         F.when(of_words, apart).otherwise(F.count(F.lit(1)) > 1).alias("whole"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
     )
@@ -429,7 +433,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     tasks = max(1, -(-int(total) // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     wanted = kinds.unionByName(again).join(hot, "k", "left").select("rid", F.struct("k", "lo", "hi", "at", "whole", F.coalesce("band", F.lit(False)).alias("band")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    texts = base.select("rid", "text").join(wanted, "rid")
+    # Both joins read the same columns of `base` in one query, so its exchange, which holds the texts, is made once.
+    texts = base.join(wanted, "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_digest
@@ -489,7 +494,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     whole = shared.filter("NOT mixed").select("rid", "lo", "hi", of_kind).unionAll(
         shared.filter("mixed").join(kinds.filter("whole").select("k", "t"), ["k", "t"]).select("rid", "lo", "hi", of_kind)
     )
-    spans = written(settled.unionAll(whole).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "words")).alias("spans")), "spans")
+    spans = settled.unionAll(whole).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "words")).alias("spans"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

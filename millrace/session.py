@@ -66,9 +66,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, label: str = "table", folder: str | None = None) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    `folder`: one of ``shared_folder``, from which the caller takes the table away (``drop_written``).
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}"
+    path = f"{folder or shared_folder(spark)}/{label}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, folder: str, *labels: str) -> None:
+    """Delete tables that ``written`` made in `folder`, once nothing reads them any more."""
+    for label in labels:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{label}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -642,6 +642,26 @@ def test_repeats_against_all_windows(spark):
             assert r["n_passage_words"] == passages[r["doc_id"]]
 
 
+def test_repeats_move_texts_once(spark, tmp_path):
+    """One exchange holds the texts, read by both joins; tables that nothing reads any more are gone."""
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = own(900)
+    docs = [(i, own(300) + shared[i % 7 * 50 :] + own(200)) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of a real size
+    try:
+        found = repeats.remove_repeats(spark.read.parquet(f"{tmp_path}/docs"))
+        assert all(r["n_removed"] >= 600 for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = found._jdf.queryExecution().executedPlan().executedPlan().toString()
+    assert plan.count("ReusedExchange [doc_id") == 1, [line for line in plan.splitlines() if "Exchange" in line]
+    folder = next(f for f in found.inputFiles() if "/shared/part-" in f).removeprefix("file://").rsplit("/", 2)[0]
+    assert os.listdir(folder) == ["shared"]
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(1)
     for _ in range(20):
