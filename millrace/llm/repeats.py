@@ -401,7 +401,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_passage_words, kept (binary) for each row of `docs`."""
+    """doc_id, n_bytes, n_removed, n_spans, n_passage_words, kept (binary) for each row of `docs`.
+
+    Steps 3 and 4 run with the result, so a caller who needs it twice should write it.
+    """
     spark = docs.sparkSession
     importable_by_workers(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
