@@ -31,7 +31,7 @@ def fround(x: Column, digits: int = 0) -> Column:
     y = F.abs(x * F.lit(scale))
     low = F.floor(y).cast("double")
     rounded = F.signum(x) * (low + F.when(y - low >= 0.5, 1.0).otherwise(0.0)) / F.lit(scale)
-    return F.when(F.isnan(x) | (y >= WHOLE), x).otherwise(rounded + 0.0)
+    return F.when(F.isnan(x) | (y == INF), x).when(y >= WHOLE, x * F.lit(scale) / F.lit(scale)).otherwise(rounded + 0.0)
 
 
 def round_(x: Column, digits: int = 0, decimal: bool = False) -> Column:

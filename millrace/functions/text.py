@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.convert import to_string
-from millrace.functions.math import fround
+from millrace.functions.math import WHOLE, fround
 
 #: Characters that padding and repeating may make.
 MOST = 1_000_000
+#: Numbers up to its square have exact digits.
+EXACT = float(1 << 63)
 
 
 def _col(x) -> Column:
@@ -138,17 +140,27 @@ def _grouped(whole: Column, separator: str) -> Column:
     return spaced if separator else whole
 
 
-def format_number(x: Column, decimals: int = 2, separator: str = ",") -> Column:
-    """Halves away from zero, thousands separated, no sign on zero."""
-    value = fround(x.cast("double"), decimals)
+def _digits(size: Column, shortest: Column) -> Column:
+    """The digits before the point; from 2^53 to 2^126 those of the exact value, not zeros after the 17th."""
+    high, low = F.floor(size / EXACT), F.pmod(size, F.lit(EXACT)).cast("bigint")
+    exact = high.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    return F.when((size >= WHOLE * 2) & (size < EXACT * EXACT), exact.cast("string")).otherwise(shortest)
+
+
+def format_number(x: Column, decimals: int = 2, separator: str = ",", zero_sign: bool = False) -> Column:
+    """Halves away from zero, thousands separated; a zero has the sign of `x` only if `zero_sign`."""
+    x = x.cast("double")
+    value = fround(x, decimals)
     text = F.format_number(F.abs(value), decimals)
-    whole, part = F.replace(F.split_part(text, F.lit("."), F.lit(1)), F.lit(","), F.lit("")), F.split_part(text, F.lit("."), F.lit(2))
-    joined = F.concat(_grouped(whole, separator), F.when(F.lit(decimals > 0), F.concat(F.lit("."), part)).otherwise(""))
-    return F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(F.when(value < 0, F.concat(F.lit("-"), joined)).otherwise(joined))
+    shortest, part = F.replace(F.split_part(text, F.lit("."), F.lit(1)), F.lit(","), F.lit("")), F.split_part(text, F.lit("."), F.lit(2))
+    joined = F.concat(_grouped(_digits(F.abs(value), shortest), separator), F.when(F.lit(decimals > 0), F.concat(F.lit("."), part)).otherwise(""))
+    # The power -1 of a zero is an infinity of its sign.
+    minus = (value < 0) | ((value == 0) & (F.pow(x, F.lit(-1.0)) < 0)) if zero_sign else value < 0
+    return F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(F.when(minus, F.concat(F.lit("-"), joined)).otherwise(joined))
 
 
-def format_percent(x: Column, decimals: int = 1) -> Column:
-    return F.concat(format_number(x.cast("double") * 100, decimals, ","), F.lit("%"))
+def format_percent(x: Column, decimals: int = 1, zero_sign: bool = False) -> Column:
+    return F.concat(format_number(x.cast("double") * 100, decimals, ",", zero_sign), F.lit("%"))
 
 
 def sha256(s: Column) -> Column:

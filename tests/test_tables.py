@@ -162,6 +162,8 @@ def test_strings(spark):
     assert one(spark, text.format_number(x, 1), x=-1234567.25) == "-1,234,567.3"
     assert one(spark, text.format_number(x, 0), x=-0.4) == "0" and one(spark, text.format_number(x, 2, " "), x=1234.5) == "1 234.50"
     assert one(spark, text.format_percent(x, 1), x=0.256) == "25.6%"
+    assert one(spark, text.format_percent(x, 0), x=-0.0) == "0%" and one(spark, text.format_number(x, 1, zero_sign=True), x=0.0) == "0.0"
+    assert one(spark, text.format_number(x, 1), x=1e23) == "99,999,999,999,999,991,611,392.0"
     with pytest.raises(ValueError):
         regex.regex_match(s, "a(?=b)")
 
