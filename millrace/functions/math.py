@@ -11,9 +11,10 @@ WHOLE = float(1 << 52)
 
 
 def fdiv(a: Column, b: Column) -> Column:
-    """Float division: x / 0 is infinite, 0 / 0 is NaN."""
+    """Float division: x / 0 is infinite, by the signs of both, 0 / 0 is NaN."""
     x, y = a.cast("double"), b.cast("double")
-    return F.when(y != 0, x / y).when(y == 0, F.when(F.isnan(x) | (x == 0), F.lit(NAN)).otherwise(F.signum(x) * F.lit(INF)))
+    # The power -1 of a zero is an infinity of its sign.
+    return F.when(y != 0, x / y).when(y == 0, x * F.pow(y, F.lit(-1.0)))
 
 
 def div(a: Column, b: Column) -> Column:

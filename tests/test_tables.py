@@ -132,6 +132,7 @@ def test_numbers(spark):
     for value, digits, want in ((2.345, 2, 2.35), (0.285, 2, 0.28), (1.005, 2, 1.0), (-2.5, 0, -3.0), (1e300, 2, 1e300)):
         assert one(spark, m.fround(x, digits), x=value) == want
     assert one(spark, m.fdiv(x, F.lit(0)), x=-1.0) == -INF and str(one(spark, m.fdiv(x, F.lit(0)), x=0.0)) == "nan"
+    assert one(spark, m.fdiv(F.lit(2), x), x=-0.0) == -INF and one(spark, m.fdiv(F.lit(-2), x), x=-0.0) == INF and one(spark, m.fdiv(x, F.lit(0)), x=INF) == INF
     assert one(spark, m.ln(x), x=0.0) == -INF and one(spark, m.log(x, 3), x=81.0) == pytest.approx(4)
     assert one(spark, m.div(x, F.lit(2)), x=-7) == -3 and one(spark, m.trunc(x, 1), x=-1.29) == -1.2
     with pytest.raises(Exception, match="ZERO"):
